@@ -76,7 +76,24 @@ def _inverse_share(share: Column, rate0: Column, rate1: Column) -> Column:
     return F.coalesce(F.try_divide(2 * served, rate0 + F.sqrt(F.greatest(rate0 * rate0 + 2 * slope * served, F.lit(0.0)))), F.lit(0.0))
 
 
-def mix(
+def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """id_col, size, source_size, target, taken, passes, position (words of training at its first use; null if none), sorted by position.
+
+    The last pass ends in the middle of one document of each source, which is taken in part; with
+    ``whole_documents`` it is taken whole if more than half of it would be.
+    """
+    return placed(docs, id_col, **options).select(id_col, "size", "source_size", "target", "taken", "passes", "position").orderBy("position", id_col)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as it is taken, in order of training position."""
+    taken = placed(docs, id_col, whole_documents=True, **options).where("taken > 0")
+    uses = taken.select(id_col, F.explode(F.sequence(F.lit(0), F.round("passes").cast("int") - 1)).alias("use"), "middle", "source_size", "target", "rate0", "rate1", "total_words")
+    at = uses.select(id_col, (_inverse_share(F.least(F.lit(1.0), (F.col("use") * F.col("source_size") + F.col("middle")) / F.col("target")), F.col("rate0"), F.col("rate1")) * F.col("total_words")).alias("_position"))
+    return docs.join(at, id_col).orderBy("_position", id_col).select(*docs.columns)
+
+
+def placed(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -87,11 +104,7 @@ def mix(
     seed: int = 17,
     whole_documents: bool = False,
 ) -> DataFrame:
-    """id_col, size, source_size, target, taken, passes, position (words of training at its first use; null if none), sorted by position.
-
-    The last pass ends in the middle of one document of each source, which is taken in part; with
-    ``whole_documents`` it is taken whole if more than half of it would be.
-    """
+    """What mix() returns and how each position came about, unsorted."""
     sized = docs.select(
         F.col(id_col),
         F.col(source_col).isNull().alias("no_source"),
@@ -114,7 +127,7 @@ def mix(
     if whole_documents:
         part = F.when(2 * part > F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
     middle = F.col("before") + F.least(F.col("size"), F.greatest(F.col("taken"), F.lit(1))) / 2
-    share = F.coalesce(F.least(F.lit(1.0), F.try_divide(middle.cast("double"), F.col("target"))), F.lit(0.0))
+    share = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("middle"), F.col("target"))), F.lit(0.0))
     every = F.col("total_words")
     return (
         sized.withColumn("in_bucket", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
@@ -124,9 +137,8 @@ def mix(
         .withColumn("full_passes", F.coalesce(passes, F.lit(0).cast("long")))
         .withColumn("taken", F.least(max_repeats * F.col("size"), F.col("full_passes") * F.col("size") + part))
         .withColumn("passes", F.coalesce(F.try_divide(F.col("taken").cast("double"), F.col("size")), F.lit(0.0)))
+        .withColumn("middle", middle.cast("double"))
         .withColumn("position", F.when(F.col("taken") > 0, _inverse_share(share, F.col("rate0"), F.col("rate1")) * every))
-        .select(id_col, "size", "source_size", "target", "taken", "passes", "position")
-        .orderBy("position", id_col)
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe as _bpe
-from plumbline.llm import mixing, quality, secret_scan, urls
+from plumbline.llm import jaccard_join, mixing, quality, secret_scan, urls
 from plumbline.llm.shared import arrow_limits
 
 
@@ -32,6 +32,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -53,5 +57,5 @@ def op9_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_quality(table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op7_url_reputation, op8_secret_scan, op9_repetition_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op5_jaccard_join, op7_url_reputation, op8_secret_scan, op9_repetition_quality)}
 ORACLES: dict[str, str] = {}
