@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe as _bpe
-from plumbline.llm import jaccard_join, mixing, quality, secret_scan, urls
+from plumbline.llm import jaccard_join, language_id, mixing, quality, secret_scan, urls, vector_search
 from plumbline.llm.shared import arrow_limits
 
 
@@ -36,10 +36,18 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.KINDS))
@@ -57,5 +65,5 @@ def op9_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_quality(table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op5_jaccard_join, op7_url_reputation, op8_secret_scan, op9_repetition_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op5_jaccard_join, op6_language_id, op7_url_reputation, op8_secret_scan, op9_repetition_quality, op10_vantage_search)}
 ORACLES: dict[str, str] = {}
