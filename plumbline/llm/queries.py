@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe as _bpe
-from plumbline.llm import jaccard_join, language_id, mixing, quality, secret_scan, urls, vector_search
+from plumbline.llm import chunk_dedup, jaccard_join, language_id, mixing, quality, secret_scan, suffix_dedup, urls, vector_search
 from plumbline.llm.shared import arrow_limits
 
 
@@ -32,6 +32,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digested(chunk_dedup.chunk_dedup(table(spark, sf_dir, "documents")))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digested(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
+def _digested(cut: DataFrame) -> DataFrame:
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -65,5 +77,5 @@ def op9_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_quality(table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op5_jaccard_join, op6_language_id, op7_url_reputation, op8_secret_scan, op9_repetition_quality, op10_vantage_search)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op3_chunk_dedup, op4_suffix_dedup, op5_jaccard_join, op6_language_id, op7_url_reputation, op8_secret_scan, op9_repetition_quality, op10_vantage_search)}
 ORACLES: dict[str, str] = {}
