@@ -116,10 +116,10 @@ def _greedy(by: str, t: str, max_dt: float):
         near, low = [], 0
         times, names = two[t].to_numpy(), two.i.to_numpy()
         for at, i in zip(one[t].to_numpy(), one.i.to_numpy(), strict=True):
-            while low < len(times) and times[low] <= at - max_dt:
+            while low < len(times) and times[low] < at and at - times[low] >= max_dt:
                 low += 1
             k = low
-            while k < len(times) and times[k] < at + max_dt:
+            while k < len(times) and (times[k] <= at or times[k] - at < max_dt):
                 if abs(at - times[k]) < max_dt:
                     near.append((abs(at - times[k]), i, names[k]))
                 k += 1
