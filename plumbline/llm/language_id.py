@@ -116,7 +116,7 @@ class Model:
         self.escapes: list[np.ndarray] = []
         below: tuple[Table, np.ndarray] | None = None
         for k in range(order + 1):  # k: bytes of context
-            seen = np.unique(np.concatenate([c for c, _ in counts[k]]))
+            seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *[c for c, _ in counts[k]]]))
             contexts = np.unique(seen >> np.uint64(8))
             total, kinds = np.zeros((len(contexts), width)), np.zeros((len(contexts), width))
             count = np.zeros((len(seen), width))
