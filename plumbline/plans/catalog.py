@@ -329,7 +329,7 @@ def quat_unit_rule(spark, sf):
 def camera_anti(spark, sf):
     f = frames(spark, sf).select("seq_id", F.col("camera").cast("string").alias("camera"))
     known = table(spark, sf, "nation").where("n_regionkey < 4").select(F.col("n_nationkey").cast("string").alias("camera"))
-    return rules.unknown_cameras(f, f.select("seq_id").distinct().join(known.withColumn("one", F.lit(1)), F.lit(True)).select("seq_id", "camera"), "a frame").select("seq_id", "message")
+    return rules.unknown_cameras(f, f.join(known, "camera").select("seq_id", "camera"), "a frame").select("seq_id", "message")
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS seq_id, 'a rig names unknown camera ' || s_nationkey AS message FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
@@ -384,8 +384,8 @@ def _customers(spark, sf):
 @query("WITH " + _CORPUS + ", w AS (SELECT o_orderkey AS index, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey - n ELSE o_orderkey END AS asked, n FROM orders, n), x AS (SELECT *, CASE WHEN asked < 0 THEN asked + n ELSE asked END AS pos FROM w) SELECT asked AS index, mi AS member, pos - lo AS frame FROM x JOIN o ON pos >= lo AND pos < hi")
 def locate_global(spark, sf):
     m = _customers(spark, sf)
-    total = m.agg(F.sum("frames").alias("n"))
-    asked = table(spark, sf, "orders").select("o_orderkey").join(F.broadcast(total), F.lit(True)).select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") - F.col("n")).otherwise(F.col("o_orderkey")).alias("index"))
+    total = m.agg(F.sum("frames").alias("n")).first()["n"]
+    asked = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") - total).otherwise(F.col("o_orderkey")).alias("index"))
     return corpus.locate(asked, m).select("index", "member", "frame")
 
 
