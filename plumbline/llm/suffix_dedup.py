@@ -13,7 +13,8 @@ with a repeated gram are the candidates (counted over all texts, combined before
    compared again. The merged order gives the longest common prefix of neighbours, and so which
    strings around an anchor can be repeated at all; left contexts decide among these.
 3. Grams with more than ``MAX_CONTEXTS`` contents (a line that very many documents share) would
-   make one range large. Their strings are compared by 128-bit digest in an ordinary aggregate.
+   make one range large. Their strings are dealt by 128-bit digest instead, in sorted runs that each
+   task has combined, so that a string is sent once by each task.
 
 Equal block contents are told by 64-bit digest within a 64-bit gram hash. Joins are equi-joins of
 written tables that may be split. Texts are shuffled twice: for the blocks to sort, and to be cut.
@@ -42,6 +43,7 @@ GRAM = 24
 MAX_CONTEXTS = 2048
 #: Suffixes that a task sorts at once.
 RUN_SUFFIXES = 1 << 16
+RUN_STRINGS = 1 << 19
 #: Documents and grams from which the ranges are drawn; only balance depends on them.
 SPLITTER_DOCUMENTS = 256
 _POSITION = np.uint64(28)
@@ -238,20 +240,47 @@ def merge_runs(runs: list[bytes]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _sorted_runs(splitters: list[bytes]):
+#: A string of a crowded gram: digest, and where it starts.
+_STRING = np.dtype([("d0", np.uint64), ("d1", np.uint64), ("id", np.int64), ("start", np.int64)])
+
+
+def first_of_each(strings: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The earliest of equal strings, sorted by digest, and the spans that the others cover."""
+    ordered = np.sort(strings, order=["d0", "d1", "id", "start"])
+    first = np.r_[True, (ordered["d0"][1:] != ordered["d0"][:-1]) | (ordered["d1"][1:] != ordered["d1"][:-1])] if len(ordered) else np.zeros(0, bool)
+    later = ordered[~first]
+    return ordered[first], _spans(list(zip(later["id"].tolist(), later["start"].tolist(), strict=True)))
+
+
+_RUN_ROWS = pa.schema([("part", pa.int32()), ("run", pa.binary()), ("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def _sorted_runs(splitters: list[bytes], parts: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, text, blocks) to front-coded runs by range, and to digests of the strings of crowded grams."""
-        kind = pa.schema([("part", pa.int32()), ("run", pa.binary()), ("d0", pa.int64()), ("d1", pa.int64()), ("id", pa.int64()), ("start", pa.int64())])
+        """(id, text, blocks) to front-coded runs by range, to runs of crowded strings by digest (parts from ``parts`` on), and to spans of repeats within the task."""
         held: list[tuple] = []
+        crowd: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
+        def rows(runs: dict[int, bytes], spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            m, n = len(runs), len(spans)
+            ids, starts, ends = zip(*spans, strict=True) if n else ((), (), ())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*runs, *[None] * n], pa.int32()), pa.array([*runs.values(), *[None] * n], pa.binary()), *[pa.array([*[None] * m, *x], pa.int64()) for x in (ids, starts, ends)]], schema=_RUN_ROWS
+            )
+
+        def flush_suffixes() -> pa.RecordBatch:
             held.sort()
-            parts: dict[int, list[tuple]] = {}
+            ranges: dict[int, list[tuple]] = {}
             for e in held:
-                parts.setdefault(bisect_right(splitters, e[0][:GRAM]), []).append(e)
+                ranges.setdefault(bisect_right(splitters, e[0][:GRAM]), []).append(e)
             held.clear()
-            empty = [None] * len(parts)
-            return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([front_code(x) for x in parts.values()], pa.binary()), *[pa.array(empty, pa.int64())] * 4], schema=kind)
+            return rows({k: front_code(v) for k, v in ranges.items()}, [])
+
+        def flush_strings() -> pa.RecordBatch:
+            kept, spans = first_of_each(np.concatenate(crowd))
+            crowd.clear()
+            part = (kept["d1"] % np.uint64(parts)).astype(np.int64)
+            return rows({parts + int(k): kept[part == k].tobytes() for k in np.unique(part)}, spans)
 
         for batch in batches:
             for who, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -264,22 +293,31 @@ def _sorted_runs(splitters: list[bytes]):
                     else:
                         held.append((data[start + anchor : start + strings + WIDTH - 1], data[start : start + anchor], strings, who, start))
                 if digests:
-                    d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                    empty = [None] * len(d)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(empty, pa.int32()), pa.array(empty, pa.binary()), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(np.full(len(d), who)), pa.array(np.array(starts, np.int64))],
-                        schema=kind,
-                    )
+                    found = np.empty(len(digests), _STRING)
+                    found["d0"], found["d1"] = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2).T
+                    found["id"], found["start"] = who, starts
+                    crowd.append(found)
                 if len(held) >= RUN_SUFFIXES:
-                    yield flush()
+                    yield flush_suffixes()
+                if digests and sum(map(len, crowd)) >= RUN_STRINGS:
+                    yield flush_strings()
         if held:
-            yield flush()
+            yield flush_suffixes()
+        if crowd:
+            yield flush_strings()
 
     return make
 
 
-def _merge(runs: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame(merge_runs(runs["run"].tolist()), columns=["id", "start", "end"]).astype("int64")
+def _merge(parts: int):
+    def merge(key, runs: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < parts:
+            found = merge_runs(runs["run"].tolist())
+        else:
+            found = first_of_each(np.concatenate([np.frombuffer(r, _STRING) for r in runs["run"]]))[1]
+        return pd.DataFrame(found, columns=["id", "start", "end"]).astype("int64")
+
+    return merge
 
 
 def _splitters(own: DataFrame, parts: int) -> list[bytes]:
@@ -307,14 +345,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ = firsts.join(contexts, "gram").select(F.col("first.id").alias("id"), F.struct(F.col("first.at").alias("at"), (F.col("contexts") > MAX_CONTEXTS).alias("crowded")).alias("block"))
     by_doc = open_.groupBy("id").agg(F.collect_list("block").alias("blocks"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = own.join(by_doc, "id").select("id", "text", "blocks").mapInArrow(_sorted_runs(_splitters(own, parts)), "part int, run binary, d0 bigint, d1 bigint, id bigint, start bigint")
+    runs = own.join(by_doc, "id").select("id", "text", "blocks").mapInArrow(_sorted_runs(_splitters(own, parts), parts), "part int, run binary, id bigint, start bigint, end bigint")
     runs = materialise(runs, "runs")
-
-    merged = runs.where("part IS NOT NULL").select("part", "run").groupBy("part").applyInPandas(_merge, "id bigint, start bigint, end bigint")
-    strings = runs.where("part IS NULL").select("d0", "d1", "id", "start")
-    earliest = materialise(strings.groupBy("d0", "d1").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d0", "d1", "first"), "strings")
-    later = strings.join(earliest, ["d0", "d1"]).where(F.struct("id", "start") != F.col("first")).select("id", "start", (F.col("start") + WIDTH).alias("end"))
-    return whole.union(materialise(merged, "merged")).union(later)
+    merged = runs.where("part IS NOT NULL").select("part", "run").groupBy("part").applyInPandas(_merge(parts), "id bigint, start bigint, end bigint")
+    return whole.union(materialise(merged, "merged")).union(runs.where("part IS NULL").select("id", "start", "end"))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
