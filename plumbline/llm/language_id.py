@@ -7,8 +7,8 @@ are frozen: a text's code length under each language is the exact sum over its b
 shortest wins. The score is the winner's share of 2^-length per language, over the text's length
 scaled to at most ``SCORE_BYTES``.
 
-Training texts are a sample of labelled rows, bounded by ``TRAIN_ROWS`` per language and by
-``TRAIN_BYTES`` per language in all; it is drawn by a hash of the id, so reruns agree. The model's
+Training texts are a sample of labelled rows, bounded by about ``TRAIN_ROWS`` per language and
+``TRAIN_BYTES`` per language in all, of at most ``MAX_LANGUAGES`` languages; it is drawn by a hash of the id, so reruns agree. The model's
 size follows from these bounds and is broadcast. Prediction is one pass without a shuffle, for each
 slice of a batch a few table lookups per byte, and reads whole texts.
 
@@ -28,6 +28,8 @@ from plumbline.llm.shared import arrow_limits, as_bytes, slices
 
 ORDER = 4
 TRAIN_ROWS = 400
+#: Languages that a model can hold; of more, the most frequent.
+MAX_LANGUAGES = 500
 TRAIN_BYTES = 1_500_000
 SCORE_BYTES = 64
 _LETTER = regex.compile(r"\p{L}")
@@ -38,9 +40,13 @@ def training_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     shares = usable.groupBy(lang_col).agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
-    # one row per language; left to the size check of the planner
-    drawn = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).join(shares.withColumnRenamed(lang_col, "lang"), "lang").where("draw < share")
-    got = drawn.orderBy("draw").select("lang", "text").limit(rows * 40).toLocalIterator()
+    known = shares.orderBy("share", lang_col).limit(MAX_LANGUAGES).collect()
+    if not known:
+        return []
+    # literals of the plan: nothing is shuffled for the sample
+    share = F.try_element_at(F.create_map(*[F.lit(x) for r in known for x in r]), F.col(lang_col))
+    drawn = usable.where(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
+    got = drawn.orderBy("draw").limit(rows * len(known) * 2).select("lang", "text").toLocalIterator()
     held: dict[str, int] = {}
     out = []
     for lang, text in got:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.session import ship
 
 #: Upper bound of one Arrow batch sent to a Python worker, and of the slices worked on at once.
-BATCH_BYTES = 8 << 20
-SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _scratch: dict[str, SparkSession] = {}
 
@@ -25,7 +26,7 @@ def arrow_limits(spark: SparkSession) -> None:
     """Keep Python workers small: long documents make large batches otherwise."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,10 +75,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete a table written by materialise() that nothing needs any more."""
-    for path in list(_scratch):
-        if any(path.split("/plumbline/")[1] in f for f in df.inputFiles()[:1]):
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete tables written by materialise() that nothing needs any more."""
+    for df in tables:
+        held = {f.split("/plumbline/")[1].split("/")[0] for f in df.inputFiles()[:1] if "/plumbline/" in f}
+        for path in [p for p in _scratch if p.rsplit("/", 1)[1] in held]:
             _delete(_scratch.pop(path), path)
 
 
@@ -92,6 +94,16 @@ def slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         held += n
     if start < len(sizes):
         yield start, len(sizes)
+    trim_memory()
+
+
+def trim_memory() -> None:
+    """Give freed memory back: idle Python workers stay alive for a while, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def as_bytes(arr: pa.Array) -> list[bytes]:
