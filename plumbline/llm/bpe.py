@@ -4,7 +4,8 @@ The bytes of a piece are read as Latin-1, so an Aho-Corasick automaton over the
 every token that starts at each position. Encoding takes the longest token, steps to shorter ones or
 back to the previous token when it can't go on, and never tries a dead position twice: linear in the
 piece. Two tokens may stand side by side exactly if merging their joint bytes gives these two again;
-a sequence is what the merges give if all its neighbours are so. That test is memoised.
+a sequence is what the merges give if all its neighbours are so. That test undoes merges towards the
+border between the two and is memoised.
 
 Pieces (matches of the pattern) are independent; a bounded cache holds their encodings. Work is a
 scalar Arrow UDF: no shuffle, and memory is bounded by the batch and the cache.
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import slices
+from plumbline.llm.shared import concat, slices
 
 #: Entries of a worker's caches; a full cache is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -50,7 +51,7 @@ class _Pieces(dict):
 
 
 class BytePairEncoder:
-    def __init__(self, tokens: list[bytes], pattern: str):
+    def __init__(self, tokens: list[bytes], pattern: str, halves: list[tuple[int, int] | None] | None = None):
         import ahocorasick
         import regex
 
@@ -62,14 +63,20 @@ class BytePairEncoder:
         for i, t in enumerate(self.names):
             self.automaton.add_word(t, i)
         self.automaton.make_automaton()
+        self.sizes = [len(t) for t in tokens]
+        self.halves = halves or self.last_merges()
         self.shorter: dict[int, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.pieces = _Pieces(self)
 
-    def merged(self, data: str) -> list[str]:
-        """What the merges make of a short string, one by one; the definition that the rest follows."""
+    def last_merges(self) -> list[tuple[int, int] | None]:
+        """For each token the two that its last merge joins; None for single bytes."""
+        return [tuple(self.ids[x] for x in self.merged(t, 2)) if len(t) > 1 else None for t in self.names]
+
+    def merged(self, data: str, least: int = 1) -> list[str]:
+        """What the merges make of a short string, one by one, until ``least`` parts are left."""
         parts = list(data)
-        while len(parts) > 1:
+        while len(parts) > least:
             ranks = [self.ids.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:], strict=False)]
             best = min(ranks)
             if best == 1 << 40:
@@ -79,12 +86,32 @@ class BytePairEncoder:
         return parts
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
-        if (known := self.fits.get(key)) is None:
-            if len(self.fits) >= CACHE_ENTRIES:
-                self.fits.clear()
-            a, b = self.names[left], self.names[right]
-            known = self.fits[key] = self.merged(a + b) == [a, b]
+        """Whether merging the joint bytes of two tokens gives these two again.
+
+        Both tokens' merges are undone from the latest on, towards the border between them. The pair
+        breaks if the two parts at the border have a merge that comes before the one just undone: of
+        equal ranks, the merge further left comes first.
+        """
+        key = left << 32 | right
+        if (known := self.fits.get(key)) is not None:
+            return known
+        if len(self.fits) >= CACHE_ENTRIES:
+            self.fits.clear()
+        ids, names, halves = self.ids, self.names, self.halves
+        before, known = 1 << 40, True
+        a, b = left, right
+        while True:
+            if (joint := ids.get(names[a] + names[b])) is not None and joint < before:
+                known = False
+                break
+            outer, inner = halves[a], halves[b]
+            if outer and (a > b or not inner):
+                before, a = a, outer[1]
+            elif inner:
+                before, b = b + 1, inner[0]
+            else:
+                break
+        self.fits[key] = known
         return known
 
     def next_shorter(self, token: int) -> int:
@@ -102,24 +129,24 @@ class BytePairEncoder:
         if (whole := self.ids.get(data)) is not None:
             return [whole]
         longest = [-1] * len(data)
-        lengths = self.names
+        sizes = self.sizes
         for end, token in self.automaton.iter(data):
-            longest[end - len(lengths[token]) + 1] = token  # later ends are longer
+            longest[end - sizes[token] + 1] = token  # later ends are longer
         alive = bytearray(b"\1" * (len(data) + 1))
         out: list[int] = []
         at, token = 0, longest[0]
         while at < len(data):
             last = out[-1] if out else -1
-            while token >= 0 and not (alive[at + len(lengths[token])] and (last < 0 or self.compatible(last, token))):
+            while token >= 0 and not (alive[at + sizes[token]] and (last < 0 or self.compatible(last, token))):
                 token = self.next_shorter(token)
             if token >= 0:
                 out.append(token)
-                at += len(lengths[token])
+                at += sizes[token]
                 token = longest[at] if at < len(data) else -1
             else:
                 alive[at] = 0
                 token = out.pop()  # its end is dead now, so a shorter one follows
-                at -= len(lengths[token])
+                at -= sizes[token]
         return out
 
     def encode(self, text: str) -> bytes:
@@ -130,37 +157,55 @@ class BytePairEncoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_encoders: dict[int, BytePairEncoder] = {}
+class Vocabulary:
+    """What is broadcast. A worker's encoder lives in its copy, so both go when Spark drops the broadcast."""
+
+    def __init__(self, tokens: list[bytes], pattern: str):
+        self.tokens, self.pattern = tokens, pattern
+        self.halves = BytePairEncoder(tokens, pattern).halves
+        self.built: BytePairEncoder | None = None
+
+    def encoder(self) -> BytePairEncoder:
+        if self.built is None:
+            self.built = BytePairEncoder(self.tokens, self.pattern, self.halves)
+        return self.built
 
 
-def _encoder(shared) -> BytePairEncoder:
-    """One encoder per worker and broadcast."""
-    key = id(shared.value)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = BytePairEncoder(*shared.value)
-    return _encoders[key]
+def _encoded(e: BytePairEncoder, texts: pa.Array) -> tuple[pa.Array, list[bytes]]:
+    """(ids, the same as bytes of 32-bit numbers) of a slice."""
+    raw = [e.encode(x) if x else b"" for x in texts.to_pylist()]
+    offsets = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32))), raw
 
 
 def bpe(spark: SparkSession, tokens: list[bytes], pattern: str):
-    """(encode, decode): text to array<int> of token ids, and ids to binary. The vocabulary is broadcast; its size is fixed."""
-    shared = spark.sparkContext.broadcast((tokens, pattern))
+    """(encode, decode, both): text to array<int> of token ids, ids to binary, and text to a struct of ids and the bytes decoded from them.
+
+    The vocabulary is broadcast; its size is fixed. ``both`` does one after the other in one worker.
+    """
+    shared = spark.sparkContext.broadcast(Vocabulary(tokens, pattern))
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        e, parts = _encoder(shared), []
-        for a, b in slices(texts):
-            ids = [e.encode(x) if x else b"" for x in texts[a:b].to_pylist()]
-            offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32))))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        e = shared.value.encoder()
+        parts = [_encoded(e, texts[a:b])[0] for a, b in slices(texts)]
+        return concat(parts, pa.list_(pa.int32()))
 
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
-        e = _encoder(shared)
-        return pa.array([e.decode(x.as_py() or ()) for x in ids], pa.binary())
+        known = shared.value.tokens
+        return pa.array([b"".join(map(known.__getitem__, x.as_py() or ())) for x in ids], pa.binary())
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        e, parts = shared.value.encoder(), []
+        for a, b in slices(texts):
+            ids, raw = _encoded(e, texts[a:b])
+            back = pa.array([e.decode(np.frombuffer(x, np.int32).tolist()) for x in raw], pa.binary())
+            parts.append(pa.StructArray.from_arrays([ids, back], ["ids", "decoded"]))
+        return concat(parts, pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]))
 
-    return encode, decode
+    return encode, decode, both
 
 
 def ids_digest(ids: Column) -> Column:

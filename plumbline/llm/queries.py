@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import bpe as _bpe
 from plumbline.llm import chunk_dedup, jaccard_join, language_id, mixing, quality, secret_scan, suffix_dedup, urls, vector_search
+from plumbline.llm.oracles import ORACLES  # noqa: F401  for the registry
 from plumbline.llm.shared import arrow_limits
 
 
@@ -22,10 +23,9 @@ def encoded(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte_bpe_50
     import public_tokenizers
 
     arrow_limits(spark)
-    encode, decode = _bpe.bpe(spark, _bpe.load_ranks(public_tokenizers.path(vocabulary)), public_tokenizers.PATTERN)
-    ids = docs.select("doc_id", encode(F.col("text")).alias("ids"))
-    both = ids.select("doc_id", "ids", decode(F.col("ids")).alias("decoded"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = _bpe.bpe(spark, _bpe.load_ranks(public_tokenizers.path(vocabulary)), public_tokenizers.PATTERN)[2]
+    out = docs.select("doc_id", both(F.col("text")).alias("t")).select("doc_id", F.col("t.ids").alias("ids"), F.col("t.decoded").alias("decoded"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,3 @@ def op9_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op3_chunk_dedup, op4_suffix_dedup, op5_jaccard_join, op6_language_id, op7_url_reputation, op8_secret_scan, op9_repetition_quality, op10_vantage_search)}
-ORACLES: dict[str, str] = {}

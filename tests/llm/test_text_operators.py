@@ -43,13 +43,15 @@ def test_bpe_equals_merges(vocabulary):
 
 
 def test_bpe_columns(spark, docs, rows, empty, vocabulary):
-    encode, decode = bpe.bpe(spark, *vocabulary)
+    encode, decode, both = bpe.bpe(spark, *vocabulary)
     arrow_limits(spark)
     for df, n in ((docs, len(rows)), (empty, 0)):
         ids = df.select("doc_id", "text", encode(F.col("text")).alias("ids"))
         got = ids.select("*", decode(F.col("ids")).alias("back")).collect()
         assert len(got) == n and all(bytes(r.back) == (r.text or "").encode() for r in got)
         assert all(r.ids == [] for r in got if not r.text)
+        joint = {r.doc_id: r.t for r in df.select("doc_id", both(F.col("text")).alias("t")).collect()}
+        assert all(joint[r.doc_id].ids == r.ids and joint[r.doc_id].decoded == r.back for r in got)
 
 
 def brute_quality(text):
