@@ -6,8 +6,9 @@
 2. Texts with equal sets form a class; classes with equal size and prefix form a group, which enters
    the join once.
 3. Groups meet in buckets, one for each prefix shingle. All pairs of a bucket are never made: first
-   each member is only paired with its bucket's smallest member. Candidates pass a size test and a
-   lower bound of the symmetric difference from parity bitmaps, then are verified on whole sets.
+   each member is only paired with its bucket's smallest member. Candidates pass a test of size and
+   position (what is left of both sets from the bucket's shingle on must suffice) and a lower bound
+   of the symmetric difference from parity bitmaps, then are verified on whole sets.
 4. Verified links give components. Only buckets (and groups) that still hold more than one component
    are then expanded to members, and every pair of members of different components is tried. A link
    that is never tried therefore lies inside a component already: components are exact.
@@ -25,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.shared import Numbering, arrow_limits, as_bytes, materialise, slices
+from plumbline.llm.shared import Numbering, arrow_limits, as_bytes, drop_scratch, materialise, slices
 
 SHINGLE_WORDS = 5
 #: How many of the most frequent shingles are told apart in the global order: 2 MB of broadcast.
@@ -147,35 +148,40 @@ def _signatures(spark: SparkSession, hot: np.ndarray):
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, salt, hot, gid, n), sorted, to those whose bucket has company, each with its bucket's first row.
+    """Rows (token, salt, hot, gid, n, left), sorted, to those whose bucket has company, each with its bucket's first row.
 
     A run of equal (token, salt) is a bucket; only its first row is held, however long it is.
     """
-    head: tuple | None = None  # token, salt, gid, n, hot, whether it has been emitted
+    head: tuple | None = None  # token, salt, hot, gid, n, left, whether it has been emitted
     for batch in batches:
-        token, salt, hot, gid, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        if not len(token):
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        if not len(columns[0]):
             continue
-        if head is not None and not head[5]:
-            token, salt, gid, n = np.r_[head[0], token], np.r_[head[1], salt], np.r_[head[2], gid], np.r_[head[3], n]
-            hot, head = np.r_[head[4], hot], None
+        if head is not None and not head[6]:
+            columns, head = [np.r_[h, c] for h, c in zip(head[:6], columns, strict=True)], None
+        token, salt, hot, gid, n, left = columns
         new = np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
         joined = head is not None and head[0] == token[0] and head[1] == salt[0]
         starts = np.flatnonzero(new)
         run = np.cumsum(new) - 1
-        length = np.diff(np.r_[starts, len(token)])
-        pivot, pivot_n = gid[starts].copy(), n[starts].copy()
-        company = length > 1
+        company = np.diff(np.r_[starts, len(token)]) > 1
+        pivot, pivot_n, pivot_left = (c[starts].copy() for c in (gid, n, left))
         if joined:
-            pivot[0], pivot_n[0], company[0] = head[2], head[3], True
+            pivot[0], pivot_n[0], pivot_left[0], company[0] = head[3], head[4], head[5], True
         keep = company[run] | hot
-        last = run == run[-1]
         emitted = bool(company[-1] or hot[-1])
-        head = (token[-1], salt[-1], pivot[-1], pivot_n[-1], hot[-1], emitted)
+        head = (token[-1], salt[-1], hot[-1], pivot[-1], pivot_n[-1], pivot_left[-1], emitted)
         if not emitted:
-            keep &= ~last
+            keep &= run != run[-1]
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, gid, n, pivot[run], pivot_n[run], hot)], ["token", "gid", "n", "pivot", "pivot_n", "hot"])
+            names = ["token", "gid", "n", "left", "pivot", "pivot_n", "pivot_left", "hot"]
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, gid, n, left, pivot[run], pivot_n[run], pivot_left[run], hot)], names)
+
+
+def _possible(n_a: str, left_a: str, n_b: str, left_b: str) -> Column:
+    """Whether two sets can be similar whose first common shingle leaves so many of each from there on."""
+    a, b = F.col(n_a), F.col(n_b)
+    return (5 * F.least(a, b) >= 4 * F.greatest(a, b)) & (9 * F.least(left_a, left_b) >= 4 * (a + b))
 
 
 def _distance():
@@ -218,14 +224,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     )
     near = materialise(near, f"{label}-near")
     wanted = near.select(F.col("a").alias(id_col)).union(near.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col)).join(wanted, id_col)
-    sets = materialise(texts.select(F.col(id_col).alias("id"), _set_of()(F.col(text_col)).alias("found")).where(F.length("found") > 0), f"{label}-sets")
+    texts = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col)).join(wanted.hint("merge"), id_col)
+    sets = materialise(texts.select(F.col(id_col).alias("id"), _set_of()(F.col(text_col)).alias("found")), f"{label}-sets")
     common = (
-        near.join(sets.toDF("a", "found_a"), "a")
-        .join(sets.toDF("b", "found_b"), "b")
+        near.hint("merge").join(sets.toDF("a", "found_a"), "a")
+        .join(sets.toDF("b", "found_b").hint("merge"), "b")
         .select("a", "b", "na", "nb", _shared_count()(F.col("found_a"), F.col("found_b")).alias("common"))
     )
-    return materialise(common.where(100 * F.col("common") >= 80 * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b").distinct(), f"{label}-links")
+    links = materialise(common.where(100 * F.col("common") >= 80 * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b").distinct(), f"{label}-links")
+    drop_scratch(near, sets)
+    return links
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +246,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = full.groupBy("n", "s0", "s1").agg(F.min(F.struct("id", "n_hot", "prefix", "bits")).alias("c"))
     classes = first.select("n", "s0", "s1", F.col("c.id").alias("cls"), F.col("c.n_hot").alias("n_hot"), F.col("c.prefix").alias("prefix"), F.col("c.bits").alias("bits"))
     classes = materialise(classes.withColumn("p0", F.xxhash64("n", "prefix")).withColumn("p1", F.xxhash64("prefix", "n", F.lit(1))), "classes")
-    small = classes.drop("prefix", "n_hot")
+    compact = materialise(signed.select("id", "n", "s0", "s1"), "keys")
+    drop_scratch(signed)
+    small = materialise(classes.drop("prefix", "n_hot"), "class-keys")
     groups = small.groupBy("n", "p0", "p1").agg(F.min("cls").alias("gid"), F.count("*").alias("members"))
 
     # members of groups with more than one class
@@ -247,12 +257,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = classes.select("cls", "n", "n_hot", "prefix").join(others.withColumnRenamed("id", "cls"), "cls", "left_anti")
     tokens = heads.select(F.posexplode("prefix").alias("pos", "token"), F.col("cls").alias("gid"), "n", F.col("n_hot"), F.size("prefix").alias("first"))
     hot = F.col("pos") >= F.col("first") - F.col("n_hot")
-    salted = tokens.select("token", F.when(hot, F.pmod(F.xxhash64("gid"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"), hot.alias("hot"), "gid", "n")
-    met = salted.repartition("token", "salt").sortWithinPartitions("token", "salt", "gid").mapInArrow(_meetings, "token bigint, gid bigint, n bigint, pivot bigint, pivot_n bigint, hot boolean")
+    salted = tokens.select("token", F.when(hot, F.pmod(F.xxhash64("gid"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"), hot.alias("hot"), "gid", "n", (F.col("n") - F.col("pos")).alias("left"))
+    met = salted.repartition("token", "salt").sortWithinPartitions("token", "salt", "gid").mapInArrow(_meetings, "token bigint, gid bigint, n bigint, left bigint, pivot bigint, pivot_n bigint, pivot_left bigint, hot boolean")
     met = materialise(met, "meetings")
+    drop_scratch(classes)
 
-    fits = 5 * F.least("n", "pivot_n") >= 4 * F.greatest("n", "pivot_n")
-    stars = met.where("pivot <> gid").where(fits).select(F.col("pivot").alias("a"), F.col("gid").alias("b"))
+    stars = met.where("pivot <> gid").where(_possible("n", "left", "pivot_n", "pivot_left")).select(F.col("pivot").alias("a"), F.col("gid").alias("b"))
     pivots = met.where("hot").select("token", "pivot").distinct()
     least = pivots.groupBy("token").agg(F.min("pivot").alias("a"))
     between = pivots.join(least, "token").where("a <> pivot").select("a", F.col("pivot").alias("b"))
@@ -262,16 +272,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # what is left: members of different components that meet in a bucket or a group
     known = components(links)
-    every = met.select(F.col("token").alias("bucket"), F.lit(False).alias("of_group"), "gid", "n").join(crowd.select("gid", "cls"), "gid", "left").select("bucket", "of_group", F.coalesce("cls", "gid").alias("id"), "n")
-    every = every.union(crowd.select(F.col("gid").alias("bucket"), F.lit(True), F.col("cls"), "n"))
-    placed = every.join(known, "id", "left").select("bucket", "of_group", "id", "n", F.coalesce("component", "id").alias("component"))
+    every = met.select(F.col("token").alias("bucket"), F.lit(False).alias("of_group"), "gid", "n", "left").join(crowd.select("gid", "cls"), "gid", "left").select("bucket", "of_group", F.coalesce("cls", "gid").alias("id"), "n", "left")
+    every = every.union(crowd.select(F.col("gid").alias("bucket"), F.lit(True), F.col("cls"), "n", "n"))
+    placed = every.join(known, "id", "left").select("bucket", "of_group", "id", "n", "left", F.coalesce("component", "id").alias("component"))
     placed = materialise(placed, "placed")
     mixed = placed.groupBy("bucket", "of_group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "of_group")
     open_ = placed.join(mixed, ["bucket", "of_group"])
-    x, y = (open_.select("bucket", "of_group", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component")]) for s in "xy")
+    x, y = (open_.select("bucket", "of_group", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "left", "component")]) for s in "xy")
     across = (
         x.join(y, ["bucket", "of_group"])
-        .where((F.col("component_x") < F.col("component_y")) & (5 * F.least("n_x", "n_y") >= 4 * F.greatest("n_x", "n_y")))
+        .where((F.col("component_x") < F.col("component_y")) & _possible("n_x", "left_x", "n_y", "left_y"))
         .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
@@ -280,6 +290,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     final = components(links.union(more)) if more.head(1) else known
 
     placed_classes = small.select("n", "s0", "s1", "cls").join(final.withColumnRenamed("id", "cls"), "cls", "left").select("n", "s0", "s1", "cls", F.coalesce("component", "cls").alias("component"))
-    return signed.select("id", "n", "s0", "s1").join(placed_classes, ["n", "s0", "s1"], "left").select(
+    return compact.join(placed_classes, ["n", "s0", "s1"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("cls", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id")
     )
