@@ -28,15 +28,19 @@ def remove_spans(text: bytes, begins: list[int], ends: list[int]) -> tuple[int,
     return removed, runs, b"".join(parts)
 
 
+def cut_all(texts: list[bytes], begins: list[list[int] | None], ends: list[list[int] | None]) -> pa.Array:
+    """RESULT of each text without its spans."""
+    got = [remove_spans(t, x or [], y or []) for t, x, y in zip(texts, begins, ends, strict=True)]
+    return pa.StructArray.from_arrays(
+        [pa.array(np.array([len(t) for t in texts], np.int64)), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())],
+        ["n_bytes", "n_removed", "n_spans", "kept"],
+    )
+
+
 def _cut(text: Column, begins: Column, ends: Column) -> Column:
     @F.arrow_udf(RESULT)
     def cut(texts: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-        own = as_bytes(texts)
-        got = [remove_spans(t, x or [], y or []) for t, x, y in zip(own, a.to_pylist(), b.to_pylist(), strict=True)]
-        return pa.StructArray.from_arrays(
-            [pa.array(np.array([len(t) for t in own], np.int64)), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())],
-            ["n_bytes", "n_removed", "n_spans", "kept"],
-        )
+        return cut_all(as_bytes(texts), a.to_pylist(), b.to_pylist())
 
     return cut(text, begins, ends)
 

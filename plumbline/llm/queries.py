@@ -33,7 +33,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digested(chunk_dedup.chunk_dedup(table(spark, sf_dir, "documents")))
+    return _digested(chunk_dedup.chunk_dedup(table(spark, sf_dir, "documents"), extend=True))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,46 @@
+"""What the corpus queries must not leave out."""
+
+from __future__ import annotations
+
+import random
+
+from plumbline.llm import chunk_dedup, queries
+
+
+def words(rng, n, longest):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, longest))) for _ in range(n))
+
+
+def test_op3_removes_short_copies_and_passages(spark, tmp_path):
+    rng = random.Random(6)
+    rows, passages = [], {}
+    for k in range(300):
+        passage = words(rng, 51, (4, 7, 10)[k % 3])
+        rows += [(2 * k, f"{words(rng, 40, 9)} {passage} {words(rng, 40, 9)}"), (2 * k + 1, f"{words(rng, 30, 9)} {passage} {words(rng, 50, 9)}")]
+        passages[2 * k + 1] = passage
+    short = [words(rng, n, 8) for n in (1, 2, 3, 6, 12, 20)]
+    rows += [(1000 + k, x) for k, x in enumerate(short)] + [(2000 + k, x) for k, x in enumerate(short)]
+    rows += [(3000, "only once, and short"), (3001, None), (3002, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op3_chunk_dedup(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        left = got[i].n_bytes - got[i].n_removed
+        assert got[i].n_bytes == len(text or "")
+        if i in passages:  # a byte or two beside the passage may be alike
+            assert 0 <= got[i].n_removed - len(passages[i]) < 12 and got[i].n_spans == 1
+        else:
+            assert left == (0 if 2000 <= i < 3000 else got[i].n_bytes)
+
+
+def test_extended_runs():
+    rng = random.Random(2)
+    for _ in range(300):
+        same = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 200)))
+        a, b = (bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 20))) for _ in range(2))
+        text, other = a + same + b, bytes(reversed(a)) + b"x" + same + b"y" + b
+        k, m = sorted(rng.choices(range(len(same) + 1), k=2))
+        at = len(a) + 1
+        run = {"start": len(a) + k, "end": len(a) + m, "before": other[: at + k], "after": other[at + m :]}
+        want = [(len(a), len(a) + len(same))] if len(same) >= chunk_dedup.MIN_REPEAT or not a + b else []
+        assert chunk_dedup.extended(text, [run]) == want
