@@ -26,8 +26,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by their kind in brackets; n_chars follows the text."""
-    found = secret_scan.find_secrets(docs).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias("_spans"))
+    """All documents, secrets (private keys always) replaced by their kind in brackets; n_chars follows the text."""
+    found = secret_scan.find_secrets(docs, always=("key",)).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias("_spans"))
     found = materialise(found, "spans")
     new = F.when(F.col("_spans").isNotNull(), secret_scan.redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
     joined = docs.join(found, "doc_id", "left").withColumn("text", new)

@@ -1,12 +1,14 @@
 """Secret scans judged by corpus-wide ownership.
 
 Patterns give candidate spans. Each candidate's value is hashed, and hashes are aggregated over the
-whole corpus by distinct repositories and distinct owners: a value that many owners publish is a
-copied example, one that a single owner has is live-looking. Base kinds are always reported; the
-method adds spans of provider formats (and of private-key headers) whose value is owner-specific.
+whole corpus by distinct texts, repositories and owners: a value that many owners publish is a copied
+example, one that a single owner has is live-looking, in however many documents. Copies of one text
+count once, for the owner and repository of the smallest id; what "many" is grows with the number of
+owners. Base kinds are always reported; the method adds spans of provider formats (and of private-key
+headers) whose value is owner-specific.
 
 The scan is one pass in Arrow batches. Candidates (few, and small) are written once to the shared
-folder; distinct counts are pre-aggregated in two steps, so a value copied into a third of all
+folder; distinct counts are pre-aggregated in steps, so a value copied into a third of all
 documents is combined before the shuffle, and the join back is an equi-join that may be split.
 
 Null and empty texts have no spans. Spans are code points, end exclusive. Repeated ids are judged
@@ -37,9 +39,9 @@ _ADDED = {
     "key": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}"),
 }
 _TELL = re.compile(r"gh[pousr]_|github_pat_|xox[abprs]-|sk_live_|AIza|glpat-|eyJ|PRIVATE KEY")
-#: A value is live-looking if at most so many owners, and so many repositories, have it.
+#: A value is live-looking if at most so many owners have it, or that share of all owners.
 MAX_OWNERS = 1
-MAX_REPOSITORIES = 3
+MAX_OWNER_SHARE = 0.001
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,value_hash:bigint>>"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value_hash", pa.int64())]))
@@ -72,24 +74,25 @@ def candidates(text: Column) -> Column:
     return found(text)
 
 
-def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
-    """value_hash, repositories, owners: distinct counts over all candidates."""
-    pairs = found.groupBy("value_hash", owner, repository).agg(F.lit(1).alias("one"))
-    by_owner = pairs.groupBy("value_hash", owner).agg(F.count("one").alias("repositories"))
-    return by_owner.groupBy("value_hash").agg(F.sum("repositories").alias("repositories"), F.count("repositories").alias("owners"))
+def ownership(found: DataFrame, repository: str, owner: str, text: str, order: str) -> DataFrame:
+    """value_hash, texts, repositories, owners: distinct counts over all candidates; a text counts once, for the repository and owner that come first by order."""
+    texts = found.groupBy("value_hash", text).agg(F.min(F.struct(order, F.col(owner).alias("owner"), F.col(repository).alias("repository"))).alias("first"))
+    pairs = texts.groupBy("value_hash", "first.owner", "first.repository").agg(F.count("*").alias("texts"))
+    by_owner = pairs.groupBy("value_hash", "owner").agg(F.sum("texts").alias("texts"), F.count("*").alias("repositories"))
+    return by_owner.groupBy("value_hash").agg(F.sum("texts").alias("texts"), F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str | None = None, owner_col: str = "source") -> DataFrame:
-    """id_col and spans: array of (start, rank, kind, end, live, owners), every base span and each added one that is live-looking."""
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str | None = None, owner_col: str = "source", always: tuple[str, ...] = ()) -> DataFrame:
+    """id_col and spans: array of (start, rank, kind, end, live, owners), every span of a base kind or of one in always, and each other one that is live-looking."""
     arrow_limits(docs.sparkSession)
-    repository = F.col(repository_col or id_col)
-    scanned = materialise(
-        docs.select(F.col(id_col).alias("id"), repository.alias("repository"), F.coalesce(F.col(owner_col), F.lit("")).alias("owner"), candidates(F.col(text_col)).alias("spans")), "secrets"
-    )
-    spans = scanned.select("id", "repository", "owner", F.inline("spans"))
+    repository, text = F.col(repository_col or id_col), F.col(text_col)
+    scanned = docs.select(F.col(id_col).alias("id"), repository.alias("repository"), F.coalesce(F.col(owner_col), F.lit("")).alias("owner"), text.alias("text"), candidates(text).alias("spans"))
+    scanned = materialise(scanned.select("id", "repository", "owner", F.when(F.size("spans") > 0, F.sha2("text", 256)).alias("digest"), "spans"), "secrets")
+    spans = scanned.select("id", "repository", "owner", "digest", F.inline("spans"))
     rank = F.array_position(F.array(*[F.lit(k) for k in (*KINDS, *_ADDED)]), F.col("kind"))
-    judged = spans.join(ownership(spans, "repository", "owner"), "value_hash").withColumn("live", (F.col("owners") <= MAX_OWNERS) & (F.col("repositories") <= MAX_REPOSITORIES))
-    kept = judged.where(F.col("kind").isin(*KINDS) | F.col("live"))
+    most = max(MAX_OWNERS, int(MAX_OWNER_SHARE * scanned.select("owner").distinct().count()))
+    judged = spans.join(ownership(spans, "repository", "owner", "digest", "id"), "value_hash").withColumn("live", F.col("owners") <= most)
+    kept = judged.where(F.col("kind").isin(*KINDS, *always) | F.col("live"))
     grouped = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end", "live", "owners"))).alias("spans"))
     return scanned.select("id").join(grouped, "id", "left").select(F.col("id").alias(id_col), F.coalesce("spans", F.array()).alias("spans"))
 
