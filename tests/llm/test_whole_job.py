@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 
-from plumbline.llm import chunk_dedup, queries, secret_scan
+from plumbline.llm import chunk_dedup, quality, queries, secret_scan
 
 
 def words(rng, n, longest):
@@ -74,3 +75,43 @@ def test_pipeline_redacts_every_private_key(spark):
     rows = [(k, f"example {k} {key('x')} end", f"s{k}") for k in range(8)]
     got = corpus_pipeline.redact_secrets(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
     assert len(got) == 8 and all("[key]" in r.text and "xb3/" not in r.text for r in got)
+
+
+def test_op9_rejects_repeats_of_text_without_spaces(spark):
+    rng = random.Random(8)
+    ideographs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    orders = [(0, 1, 2, 3, 4, 5), (3, 1, 5, 0, 2, 4), (2, 5, 1, 4, 0, 3), (4, 0, 3, 5, 2, 1)]
+    rows = []
+    for k, line in enumerate((ideographs, letters)):
+        six = [line(60) for _ in range(6)]
+        rows += [(2 * k, "\n".join(six[j] for o in orders for j in o)), (2 * k + 1, "\n".join(line(60) for _ in range(24)))]
+    rows += [(10, words(rng, 300, 8)), (11, None), (12, "")]
+    got = {r.doc_id: r.quality for r in quality.with_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[i].base_failed for i in (0, 1, 2, 3, 10))
+    assert [got[i].kept for i in (0, 1, 2, 3, 10, 11, 12)] == [False, True, False, True, True, False, False]
+    assert got[0].longest_bytes >= 180 and got[0].covered_bytes >= 24 * 180 and got[1].covered_bytes == 0
+
+
+def test_repeated_bytes():
+    rng = random.Random(4)
+    for least in (8, 13, 48):
+        pieces = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 90))) for _ in range(8)]
+        texts = [b"".join(rng.choice(pieces) for _ in range(rng.randint(0, 6))) for _ in range(60)] + [b"", b"a" * 300, b"a" * (least - 1), b"a" * (least + 1)]
+        want = []
+        for t in texts:
+            longest = 0
+            gone, seen = set(), defaultdict(list)
+            for i in range(len(t) - least + 1):
+                seen[t[i : i + least]].append(i)
+            for at in seen.values():
+                if len(at) > 1:
+                    gone.update(j for i in at for j in range(i, i + least))
+                    for x in at:
+                        for y in at:
+                            k = least
+                            while x < y and y + k < len(t) and t[x + k] == t[y + k]:
+                                k += 1
+                            longest = max(longest, k if x != y else 0)
+            want.append((len(gone), longest))
+        assert list(zip(*(x.tolist() for x in quality.repeated_bytes(texts, least)), strict=True)) == want
