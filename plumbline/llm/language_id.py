@@ -8,8 +8,9 @@ shortest wins. The score is the winner's share of 2^-length per language, over t
 scaled to at most ``SCORE_BYTES``.
 
 Training texts are a sample of labelled rows, bounded by about ``TRAIN_ROWS`` per language and
-``TRAIN_BYTES`` per language in all, of at most ``MAX_LANGUAGES`` languages; it is drawn by a hash of the id, so reruns agree. The model's
-size follows from these bounds and is broadcast. Prediction is one pass without a shuffle, for each
+``TRAIN_BYTES`` per language in all; it is drawn by a hash of the id, so reruns agree. More than
+``MAX_LANGUAGES`` labelled languages are an error: none is left out unsaid. The model's size follows
+from these bounds and is broadcast. Prediction is one pass without a shuffle, for each
 slice of a batch a few table lookups per byte, and reads whole texts.
 
 Null texts, and texts without a letter, get ``und`` with score 0, as does everything if no row is
@@ -28,7 +29,7 @@ from plumbline.llm.shared import arrow_limits, as_bytes, slices
 
 ORDER = 4
 TRAIN_ROWS = 400
-#: Languages that a model can hold; of more, the most frequent.
+#: Languages that a model can hold; more are refused, as those left out would never be predicted.
 MAX_LANGUAGES = 500
 TRAIN_BYTES = 1_500_000
 SCORE_BYTES = 64
@@ -40,7 +41,9 @@ def training_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     shares = usable.groupBy(lang_col).agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
-    known = shares.orderBy("share", lang_col).limit(MAX_LANGUAGES).collect()
+    known = shares.orderBy("share", lang_col).limit(MAX_LANGUAGES + 1).collect()
+    if len(known) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labelled languages")
     if not known:
         return []
     # literals of the plan: nothing is shuffled for the sample

@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
-from plumbline.llm import chunk_dedup, quality, queries, secret_scan
+import pytest
+
+from plumbline.llm import chunk_dedup, language_id, quality, queries, secret_scan
 
 
 def words(rng, n, longest):
@@ -115,3 +117,12 @@ def test_repeated_bytes():
                             longest = max(longest, k if x != y else 0)
             want.append((len(gone), longest))
         assert list(zip(*(x.tolist() for x in quality.repeated_bytes(texts, least)), strict=True)) == want
+
+
+def test_op6_refuses_more_languages_than_it_can_hold(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    rows = [(k, text, lang) for k, (text, lang) in enumerate([("abc abd", "x"), ("klm kln", "y"), ("rst rsu", "z")] * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.identify(df.where("lang <> 'z'")).collect()} == {"x", "y"}
+    with pytest.raises(ValueError, match="languages"):
+        language_id.identify(df).collect()
