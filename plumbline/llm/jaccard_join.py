@@ -13,6 +13,9 @@
    are then expanded to members, and every pair of members of different components is tried. A link
    that is never tried therefore lies inside a component already: components are exact.
 
+What is returned is components, not the links: pairs inside one component are mostly never tried, so
+neither all similar pairs nor a document's number of them can be had from this.
+
 The order of shingles is a matter of speed only; its statistic counts all shingles but keeps the
 ``HOT_SHINGLES`` most frequent, which bounds its broadcast. Buckets of those are salted. Buckets are
 streamed, not collected. Ids must be integers and not null; rows that share an id count as one
