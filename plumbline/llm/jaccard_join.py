@@ -16,8 +16,9 @@
 What is returned is components, not the links: pairs inside one component are mostly never tried, so
 neither all similar pairs nor a document's number of them can be had from this.
 
-The order of shingles is a matter of speed only; its statistic counts all shingles but keeps the
-``HOT_SHINGLES`` most frequent, which bounds its broadcast. Buckets of those are salted. Buckets are
+The order of shingles is a matter of speed only; its statistic reads all texts, but leaves out of each
+batch of about a million shingles those that occur once in it, so counts are lower bounds and depend
+on the layout. It keeps the ``HOT_SHINGLES`` most frequent, which bounds its broadcast. Buckets of those are salted. Buckets are
 streamed, not collected. Ids must be integers and not null; rows that share an id count as one
 document. Null or empty texts have no shingles and no links. Extra columns are ignored.
 """
