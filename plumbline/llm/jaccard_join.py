@@ -9,9 +9,13 @@
    each member is only paired with its bucket's smallest member. Candidates pass a test of size and
    position (what is left of both sets from the bucket's shingle on must suffice) and a lower bound
    of the symmetric difference from parity bitmaps, then are verified on whole sets.
-4. Verified links give components. Only buckets (and groups) that still hold more than one component
-   are then expanded to members, and every pair of members of different components is tried. A link
-   that is never tried therefore lies inside a component already: components are exact.
+4. Verified links give components. Buckets (and groups) that still hold more than one component are
+   expanded to members and dealt to cells of at most about ``2 * BLOCK_BYTES`` of bitmaps: blocks of
+   members that aren't in the bucket's main component, against one another and against blocks of
+   those that are; members of the main component never meet. A cell compares bitmaps as one matrix
+   product and returns only what may be a link: first the nearest pair of any two components, so that
+   large components join by one link, then, of the buckets that still hold several components, every
+   pair left. A pair that is never tried therefore lies inside a component: components are exact.
 
 What is returned is components, not the links: pairs inside one component are mostly never tried, so
 neither all similar pairs nor a document's number of them can be had from this.
@@ -19,8 +23,15 @@ neither all similar pairs nor a document's number of them can be had from this.
 The order of shingles is a matter of speed only; its statistic reads all texts, but leaves out of each
 batch of about a million shingles those that occur once in it, so counts are lower bounds and depend
 on the layout. It keeps the ``HOT_SHINGLES`` most frequent, which bounds its broadcast. Buckets of those are salted. Buckets are
-streamed, not collected. Ids must be integers and not null; rows that share an id count as one
-document. Null or empty texts have no shingles and no links. Extra columns are ignored.
+streamed, not collected; a cell has a bounded size. Comparisons in cells grow with (members outside
+the main component) x (members), as a matrix product; a crowd of texts that are all just too
+different is the worst case.
+
+Edge cases: null or empty texts have no shingles and no links. Texts of any length are whole sets of
+any size, their bitmaps grow with them. Rows are judged by their own text: rows that repeat an id
+stay rows of their own, repeated rows get equal results, and a null id takes part in links but names
+no component (null, if no id is reachable). Ids must be integers. Ties can't occur. An empty table
+gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.shared import Numbering, arrow_limits, as_bytes, drop_scratch, materialise, slices
+from plumbline.llm.shared import Numbering, arrow_limits, as_bytes, drop_scratch, materialise, slices, unused
 
 SHINGLE_WORDS = 5
 #: How many of the most frequent shingles are told apart in the global order: 2 MB of broadcast.
@@ -42,7 +53,11 @@ HOT_SHINGLES = 1 << 18
 #: A shingle must occur this often to be one of them.
 HOT_COUNT = 8
 SALTS = 64
+#: Least length of a parity bitmap; it has two to four bits for each shingle beyond that.
 BITMAP_BYTES = 128
+#: Bitmaps of a block, and of what is unpacked for a matrix product at once.
+BLOCK_BYTES = 256 << 10
+_UNPACKED = 512 << 10
 _COUNT_AT_ONCE = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,11 +125,20 @@ def frequent_shingles(docs: DataFrame, text_col: str, keep: int = HOT_SHINGLES,
 
 
 def _bitmap(found: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each of the bitmap's bits."""
-    bits = np.bincount((found >> np.uint64(13)) % np.uint64(BITMAP_BYTES * 8), minlength=BITMAP_BYTES * 8) & 1
+    """Parity of the number of shingles in each of the bitmap's bits; their number is a power of two."""
+    size = max(BITMAP_BYTES * 8, 1 << (2 * len(found) - 1).bit_length()) if len(found) else BITMAP_BYTES * 8
+    bits = np.bincount(((found >> np.uint64(13)) % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _folded(bitmaps: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bitmaps as bitmaps of fewer bytes: parities of halves add up."""
+    while bitmaps.shape[1] > size:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] ^ bitmaps[:, half:]
+    return bitmaps
+
+
 _SIGNATURE = "struct<n:bigint,s0:bigint,s1:bigint,n_hot:int,prefix:array<bigint>,bits:binary>"
 
 
@@ -191,12 +215,145 @@ def _possible(n_a: str, left_a: str, n_b: str, left_b: str) -> Column:
 def _distance():
     @F.arrow_udf("bigint")
     def distance(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), BITMAP_BYTES // 8) for c in (a, b))
-        return pa.array(np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64))
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            if len(x) != len(y):
+                size = min(len(x), len(y))
+                x, y = (_folded(np.frombuffer(v, np.uint8)[None, :], size).tobytes() for v in (x, y))
+            out.append((int.from_bytes(x) ^ int.from_bytes(y)).bit_count())
+        return pa.array(out, pa.int64())
 
     return distance
 
 
+def _rows_at_once(size: int) -> int:
+    return max(1, _UNPACKED // size)
+
+
+def _signs(bitmaps: np.ndarray) -> np.ndarray:
+    return 1.0 - 2.0 * np.unpackbits(bitmaps, axis=1).astype(np.float32)
+
+
+def near_pairs(x: tuple, y: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, least difference) of pairs of different components that may be links.
+
+    x, y: arrays n, left, component and a list of bitmaps. Without y, pairs of x, each once.
+    """
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    other = x if y is None else y
+    sizes_x, sizes_y = (np.fromiter(map(len, v[3]), np.int64, len(v[3])) for v in (x, other))
+    for size_x in np.unique(sizes_x).tolist():
+        for size_y in np.unique(sizes_y).tolist():
+            if max(size_x, size_y) > 2 * min(size_x, size_y):
+                continue  # sizes of sets are within a fourth of one another
+            size, rows_x, rows_y = min(size_x, size_y), np.flatnonzero(sizes_x == size_x), np.flatnonzero(sizes_y == size_y)
+            step = _rows_at_once(size)
+            for i in range(0, len(rows_x), step):
+                own = rows_x[i : i + step]
+                signs = _signs(_folded(np.frombuffer(b"".join(x[3][k] for k in own.tolist()), np.uint8).reshape(len(own), size_x), size))
+                for j in range(0, len(rows_y), step):
+                    far = rows_y[j : j + step]
+                    theirs = signs if y is None and size_x == size_y and i == j else _signs(_folded(np.frombuffer(b"".join(other[3][k] for k in far.tolist()), np.uint8).reshape(len(far), size_y), size))
+                    difference = (8 * size - signs @ theirs.T) / 2
+                    n_x, n_y = x[0][own][:, None], other[0][far][None, :]
+                    ok = (9 * difference <= n_x + n_y) & (x[2][own][:, None] != other[2][far][None, :])
+                    ok &= (5 * np.minimum(n_x, n_y) >= 4 * np.maximum(n_x, n_y)) & (9 * np.minimum(x[1][own][:, None], other[1][far][None, :]) >= 4 * (n_x + n_y))
+                    if y is None:
+                        ok &= own[:, None] < far[None, :]
+                    p, q = np.nonzero(ok)
+                    if len(p):
+                        found.append((own[p], far[q], difference[p, q]))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.float32)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+#: A member in a cell: side 0 meets side 1, and side 2 is both.
+_CELL = ["bucket", "of_group", "x", "y", "side", "id", "n", "left", "component", "bits"]
+
+
+def _compared(nearest_only: bool):
+    """Sorted rows of cells to pairs a, b that may be links; of each two components in a cell only the nearest pair, if so wished."""
+
+    def cell(rows: list[np.ndarray | list]) -> tuple[np.ndarray, np.ndarray]:
+        side, ids, n, left, component, bits = rows
+        parts = [np.flatnonzero(side == k) for k in (0, 1, 2)]
+        pick = lambda at: (n[at], left[at], component[at], [bits[k] for k in at.tolist()])
+        if len(parts[2]):
+            a, b, far = near_pairs(pick(parts[2]), None)
+            a, b = parts[2][a], parts[2][b]
+        else:
+            a, b, far = near_pairs(pick(parts[0]), pick(parts[1]))
+            a, b = parts[0][a], parts[1][b]
+        if nearest_only and len(a):
+            low, high = np.minimum(component[a], component[b]), np.maximum(component[a], component[b])
+            order = np.lexsort((np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), far, high, low))
+            first = order[np.r_[True, (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)]]
+            a, b = a[first], b[first]
+        return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None
+        key: tuple | None = None
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        def ended() -> None:
+            rows = [np.concatenate([part[c] for part in held]) for c in range(5)]
+            out.append(cell([*rows, [v for part in held for v in part[5]]]))
+
+        for batch in batches:
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+            if not len(keys[0]):
+                continue
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4, 9)]
+            bits = batch.column(9).to_pylist()
+            new = np.zeros(len(keys[0]), bool)
+            for c in keys:
+                new[1:] |= c[1:] != c[:-1]
+            starts = [0, *np.flatnonzero(new).tolist(), len(new)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                own = tuple(c[a] for c in keys)
+                if held is not None and own != key:
+                    ended()
+                    held = None
+                key = own
+                held = [] if held is None else held
+                held.append([*(c[a:b] for c in columns), bits[a:b]])
+            if sum(len(x[0]) for x in out) > 1 << 16:
+                yield flush()
+        if held is not None:
+            ended()
+        if out:
+            yield flush()
+
+    return compare
+
+
+def _across(placed: DataFrame, bitmaps: DataFrame, nearest_only: bool) -> DataFrame:
+    """Pairs a, b that may be links, of members of different components that meet; placed: bucket, of_group, id, n, left, component."""
+    by = ["bucket", "of_group"]
+    rows = placed.groupBy(*by, "component").agg(F.count("*").alias("rows"), F.sum(F.lit(BITMAP_BYTES) + F.col("n")).alias("bytes"))
+    every = rows.groupBy(*by).agg(F.max(F.struct("rows", "component", "bytes")).alias("m"), F.sum("bytes").alias("bytes"), F.count("*").alias("components")).where("components > 1")
+    blocks = lambda size: F.ceil(size / BLOCK_BYTES).cast("int")
+    shape = every.select(*by, F.col("m.component").alias("main"), blocks(F.col("m.bytes")).alias("mains"), blocks(F.col("bytes") - F.col("m.bytes")).alias("others"))
+    open_ = placed.join(shape, by).withColumn("of_main", F.col("component") == F.col("main"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("of_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    cell = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+    own, others, mains = F.col("block"), F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.col("others"), F.col("others") + F.col("mains") - 1)
+    to_others = F.transform(others, lambda k: cell(F.least(own, k), F.greatest(own, k), F.when(k == own, 2).when(k > own, 0).otherwise(1)))
+    to_mains = F.transform(mains, lambda k: cell(own, k, F.lit(0)))
+    from_main = F.transform(others, lambda k: cell(k, own + F.col("others"), F.lit(1)))
+    dealt = open_.withColumn("block", block).withColumn("cell", F.explode(F.when(F.col("of_main"), from_main).otherwise(F.concat(to_others, to_mains))))
+    dealt = dealt.select(*by, "cell.*", "id", "n", "left", "component").join(bitmaps.toDF("id", "bits"), "id").select(*_CELL)
+    return dealt.repartition(*_CELL[:4]).sortWithinPartitions(*_CELL[:4]).mapInArrow(_compared(nearest_only), "a bigint, b bigint").distinct()
+
+
 def _shared_count():
     @F.arrow_udf("bigint")
     def shared(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -217,8 +374,8 @@ def _set_of():
     return whole
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
-    """Of distinct pairs a, b of class ids, those with 100 * intersection >= 80 * union; materialised."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+    """Of distinct pairs a, b of classes, those with 100 * intersection >= 80 * union; materialised. docs: id, key, text."""
     sides = classes.select("cls", "n", "bits")
     near = (
         pairs.join(sides.toDF("a", "na", "bits_a"), "a")
@@ -227,38 +384,41 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
         .select("a", "b", "na", "nb")
     )
     near = materialise(near, f"{label}-near")
-    wanted = near.select(F.col("a").alias(id_col)).union(near.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col)).join(wanted.hint("merge"), id_col)
-    sets = materialise(texts.select(F.col(id_col).alias("id"), _set_of()(F.col(text_col)).alias("found")), f"{label}-sets")
+    ids = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
+    wanted = ids.join(classes.select("cls", F.col("id").alias("w_id"), F.col("key").alias("w_key")), "cls")
+    texts = docs.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")))
+    # repeated rows give a set several times
+    sets = materialise(texts.select("cls", _set_of()(F.col("text")).alias("found")).groupBy("cls").agg(F.min("found").alias("found")), f"{label}-sets")
     common = (
         near.hint("merge").join(sets.toDF("a", "found_a"), "a")
         .join(sets.toDF("b", "found_b").hint("merge"), "b")
         .select("a", "b", "na", "nb", _shared_count()(F.col("found_a"), F.col("found_b")).alias("common"))
     )
-    links = materialise(common.where(100 * F.col("common") >= 80 * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b").distinct(), f"{label}-links")
+    links = materialise(common.where(100 * F.col("common") >= 80 * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), f"{label}-links")
     drop_scratch(near, sets)
     return links
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, class_id (smallest id with the same set), component_id for every row."""
+def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key (hash of the text), n, class_id, component (a number of its own; null without shingles), component_id for every row."""
     spark = docs.sparkSession
     arrow_limits(spark)
     signature = _signatures(spark, frequent_shingles(docs, text_col))
-    signed = materialise(docs.select(F.col(id_col).cast("bigint").alias("id"), signature(F.col(text_col)).alias("s")).select("id", "s.*"), "signatures")
-    full = signed.where("n > 0")
-    first = full.groupBy("n", "s0", "s1").agg(F.min(F.struct("id", "n_hot", "prefix", "bits")).alias("c"))
-    classes = first.select("n", "s0", "s1", F.col("c.id").alias("cls"), F.col("c.n_hot").alias("n_hot"), F.col("c.prefix").alias("prefix"), F.col("c.bits").alias("bits"))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    signed = materialise(docs.select("id", "key", signature(F.col("text")).alias("s")).select("id", "key", "s.*"), "signatures")
+    # of rows with the same set, the one with the smallest id stands for the class
+    first = signed.where("n > 0").groupBy("n", "s0", "s1").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "n_hot", "prefix", "bits")).alias("c"))
+    classes = first.select("n", "s0", "s1", "c.id", "c.key", "c.n_hot", "c.prefix", "c.bits").withColumn("cls", F.monotonically_increasing_id())
     classes = materialise(classes.withColumn("p0", F.xxhash64("n", "prefix")).withColumn("p1", F.xxhash64("prefix", "n", F.lit(1))), "classes")
-    compact = materialise(signed.select("id", "n", "s0", "s1"), "keys")
+    compact = materialise(signed.select("id", "key", "n", "s0", "s1"), "keys")
     drop_scratch(signed)
     small = materialise(classes.drop("prefix", "n_hot"), "class-keys")
     groups = small.groupBy("n", "p0", "p1").agg(F.min("cls").alias("gid"), F.count("*").alias("members"))
 
     # members of groups with more than one class
     crowd = materialise(small.select("n", "p0", "p1", "cls").join(groups.where("members > 1"), ["n", "p0", "p1"]).select("cls", "n", "gid"), "crowds")
-    others = crowd.where("cls <> gid").select(F.col("cls").alias("id"))
-    heads = classes.select("cls", "n", "n_hot", "prefix").join(others.withColumnRenamed("id", "cls"), "cls", "left_anti")
+    others = crowd.where("cls <> gid").select("cls")
+    heads = classes.select("cls", "n", "n_hot", "prefix").join(others, "cls", "left_anti")
     tokens = heads.select(F.posexplode("prefix").alias("pos", "token"), F.col("cls").alias("gid"), "n", F.col("n_hot"), F.size("prefix").alias("first"))
     hot = F.col("pos") >= F.col("first") - F.col("n_hot")
     salted = tokens.select("token", F.when(hot, F.pmod(F.xxhash64("gid"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"), hot.alias("hot"), "gid", "n", (F.col("n") - F.col("pos")).alias("left"))
@@ -271,29 +431,52 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = pivots.groupBy("token").agg(F.min("pivot").alias("a"))
     between = pivots.join(least, "token").where("a <> pivot").select("a", F.col("pivot").alias("b"))
     inside = crowd.where("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
-    pairs = stars.union(between).union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(pairs, small, docs, id_col, text_col, "stars")
+    pairs = materialise(stars.union(between).union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = _verified(pairs, small, docs, "stars")
 
     # what is left: members of different components that meet in a bucket or a group
-    known = components(links)
     every = met.select(F.col("token").alias("bucket"), F.lit(False).alias("of_group"), "gid", "n", "left").join(crowd.select("gid", "cls"), "gid", "left").select("bucket", "of_group", F.coalesce("cls", "gid").alias("id"), "n", "left")
     every = every.union(crowd.select(F.col("gid").alias("bucket"), F.lit(True), F.col("cls"), "n", "n"))
-    placed = every.join(known, "id", "left").select("bucket", "of_group", "id", "n", "left", F.coalesce("component", "id").alias("component"))
-    placed = materialise(placed, "placed")
-    mixed = placed.groupBy("bucket", "of_group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "of_group")
-    open_ = placed.join(mixed, ["bucket", "of_group"])
-    x, y = (open_.select("bucket", "of_group", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "left", "component")]) for s in "xy")
-    across = (
-        x.join(y, ["bucket", "of_group"])
-        .where((F.col("component_x") < F.col("component_y")) & _possible("n_x", "left_x", "n_y", "left_y"))
-        .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    more = _verified(across, small, docs, id_col, text_col, "across")
-    final = components(links.union(more)) if more.head(1) else known
+    placed, known = every, components(links)
+    for nearest_only in (True, False):
+        placed = placed.select("bucket", "of_group", "id", "n", "left").join(known, "id", "left").select("bucket", "of_group", "id", "n", "left", F.coalesce("component", "id").alias("component"))
+        mixed = placed.groupBy("bucket", "of_group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "of_group")
+        placed = materialise(placed.join(mixed, ["bucket", "of_group"]), "placed")
+        found = materialise(_across(placed, small.select("cls", "bits"), nearest_only).join(pairs, ["a", "b"], "left_anti"), "across")
+        more = _verified(found, small, docs, "across")
+        if more.head(1):
+            links = links.union(more)
+            known = components(links)
+        pairs = pairs.union(found)
+
+    by_class = small.select("n", "s0", "s1", "cls", "id").join(known.withColumnRenamed("id", "cls"), "cls", "left").select("n", "s0", "s1", "id", F.coalesce("component", "cls").alias("component"))
+    names = by_class.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = by_class.join(names, "component").select("n", "s0", "s1", F.col("id").alias("class_id"), "component", "component_id")
+    return compact.join(named, ["n", "s0", "s1"], "left").select("id", "key", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
-    placed_classes = small.select("n", "s0", "s1", "cls").join(final.withColumnRenamed("id", "cls"), "cls", "left").select("n", "s0", "s1", "cls", F.coalesce("component", "cls").alias("component"))
-    return compact.join(placed_classes, ["n", "s0", "s1"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("cls", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id")
-    )
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, class_id (smallest id with the same set), component_id for every row."""
+    return _joined(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, but of each component only one: that with the smallest id (no id comes last), of repeated rows any.
+
+    Rows without shingles are linked with nothing and all stay.
+    """
+    found = materialise(_joined(docs, id_col, text_col).where("n > 0").select("id", "key", "component"), "placed-rows")
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    stays = found.groupBy("component").agg(F.min(rank).alias("r")).select("component", F.col("r.id").alias("s_id"), F.col("r.key").alias("s_key"))
+    own = F.col("id").eqNullSafe(F.col("s_id")) & (F.col("key") == F.col("s_key"))
+    judged = found.groupBy("component", "id", "key").agg(F.count("*").alias("rows")).join(stays, "component").select("id", "key", "rows", own.alias("stays"))
+    judged = materialise(judged.where(~F.col("stays") | (F.col("rows") > 1)).select(F.col("id").alias("j_id"), F.col("key").alias("j_key"), "stays"), "copies")
+    drop_scratch(found)
+    keyed = docs.select(*docs.columns, F.col(id_col).cast("bigint").alias(i := unused(docs, "id")), F.xxhash64(text_col).alias(k := unused(docs, "key")))
+    same = F.col(i).eqNullSafe(F.col("j_id")) & (F.col(k) == F.col("j_key"))
+    kept = keyed.join(judged, same, "left_anti").select(*docs.columns)
+    twice = judged.where("stays")
+    if twice.head(1):
+        again = keyed.join(twice, same).groupBy(i, k).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+        kept = kept.union(again.select("row.*"))
+    return kept

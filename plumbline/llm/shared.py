@@ -83,6 +83,14 @@ def drop_scratch(*tables: DataFrame) -> None:
             _delete(_scratch.pop(path), path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """[start, end) ranges of a string or binary array, each of about limit bytes at most."""
     sizes = pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)

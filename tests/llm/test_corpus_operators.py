@@ -139,6 +139,69 @@ def test_jaccard_join(spark, docs, rows, empty, monkeypatch, hot):
         assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+def crowd(rng, words, size, changes, n=60):
+    """Near copies of one text, most of them just too different from one another."""
+    base = [rng.choice(words) for _ in range(n)]
+    out = []
+    for k in range(size):
+        b = list(base)
+        for j in range(changes[k % len(changes)]):
+            b[rng.randrange(len(b))] = f"own{k}x{j}"
+        out.append(" ".join(b))
+    return out
+
+
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK_BYTES, 2000])
+def test_jaccard_join_of_crowds(spark, monkeypatch, block):
+    """Crowds just below and above 0.8, of short and long texts, in cells of any size."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", block)
+    monkeypatch.setattr(jaccard_join, "_UNPACKED", 2048 if block == 2000 else jaccard_join._UNPACKED)
+    rng = random.Random(9)
+    words = [f"v{k}" for k in range(400)]
+    texts = crowd(rng, words, 120, [1, 2, 2, 3]) + crowd(rng, words, 60, [2]) + crowd(rng, words, 12, [9, 14, 20, 30], 900)
+    data = [(k, t) for k, t in enumerate(texts)]
+    rng.shuffle(data)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    want = brute_components(sets_of(data))
+    assert got == want
+    assert 20 < len(set(want.values())) < len(want) - 20
+
+
+def test_near_pairs_of_bitmaps():
+    rng = random.Random(1)
+    sets = []
+    for n in (30, 200, 700, 1500):
+        base = [rng.getrandbits(63) for _ in range(n)]
+        for k in range(12):
+            sets.append(np.array(sorted({*base[: n - rng.randint(0, n // 5)], *(rng.getrandbits(63) for _ in range(rng.randint(0, n // 6)))}), np.uint64))
+    n = np.array([len(s) for s in sets])
+    rows = (n, n, np.arange(len(sets)) % 7, [jaccard_join._bitmap(s) for s in sets])
+    a, b, far = jaccard_join.near_pairs(rows, None)
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    real = [set(s.tolist()) for s in sets]
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if rows[2][i] != rows[2][j] and 5 * len(real[i] & real[j]) >= 4 * len(real[i] | real[j])}
+    assert {(min(x), max(x)) for x in links} <= got and links
+    assert all(f <= len(real[i] ^ real[j]) for i, j, f in zip(a.tolist(), b.tolist(), far.tolist(), strict=True))
+    half = len(sets) // 2
+    some = [tuple(c[x] if isinstance(c, np.ndarray) else c[x] for c in rows) for x in (slice(0, half), slice(half, None))]
+    a, b, _ = jaccard_join.near_pairs(*some)
+    assert set(zip(a.tolist(), (b + half).tolist(), strict=True)) == {(i, j) for i, j in got if i < half <= j}
+
+
+def test_jaccard_join_without_ids_and_with_repeats(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    near = long + " end"
+    rows = [(5, long), (None, long), (9, near), (9, near), (9, "five other words stand here"), (None, "quite another text of some words"), (None, None), (3, ""), (3, "five other words stand here")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, key long")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(df).collect())
+    assert got == Counter([(5, 36, 5), (None, 36, 5), (9, 37, 5), (9, 37, 5), (9, 1, 3), (None, 2, None), (None, 0, None), (3, 0, 3), (3, 1, 3)])
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([rows[0], (None, "quite another text of some words"), (None, None), (3, ""), (3, "five other words stand here")])
+    twice = jaccard_join.one_of_each(df.where("doc_id = 9")).collect()
+    assert Counter((r.doc_id, r.text) for r in twice) == Counter([(9, near), (9, "five other words stand here")])
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 150), (150, 120), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
