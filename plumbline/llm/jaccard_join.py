@@ -9,10 +9,12 @@
    each member is only paired with its bucket's smallest member. Candidates pass a test of size and
    position (what is left of both sets from the bucket's shingle on must suffice) and a lower bound
    of the symmetric difference from parity bitmaps, then are verified on whole sets.
-4. Verified links give components. Buckets (and groups) that still hold more than one component are
-   expanded to members and dealt to cells of at most about ``2 * BLOCK_BYTES`` of bitmaps: blocks of
-   members that aren't in the bucket's main component, against one another and against blocks of
-   those that are; members of the main component never meet. A cell compares bitmaps as one matrix
+4. Verified links give components. What has met all of its bucket is left out of it, and the rest is
+   parted by size of set, as only sets within a fourth of one another can be similar. Parts of buckets
+   (and of groups) that still hold more than one component are expanded to members and dealt to cells
+   of at most about ``2 * BLOCK_BYTES`` of bitmaps: blocks of members that aren't in the part's main
+   component, against one another and against blocks of those that are; members of the main component
+   never meet. A cell compares bitmaps as one matrix
    product and returns only what may be a link: first the nearest pair of any two components, so that
    large components join by one link, then, of the buckets that still hold several components, every
    pair left. A pair that is never tried therefore lies inside a component: components are exact.
@@ -237,11 +239,12 @@ def _signs(bitmaps: np.ndarray) -> np.ndarray:
 def near_pairs(x: tuple, y: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, row of y, least difference) of pairs of different components that may be links.
 
-    x, y: arrays n, left, component and a list of bitmaps. Without y, pairs of x, each once.
+    x, y: arrays n, left, component, home and a list of bitmaps. Without y, pairs of x, each once. One of
+    a pair must be at home.
     """
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     other = x if y is None else y
-    sizes_x, sizes_y = (np.fromiter(map(len, v[3]), np.int64, len(v[3])) for v in (x, other))
+    sizes_x, sizes_y = (np.fromiter(map(len, v[4]), np.int64, len(v[4])) for v in (x, other))
     for size_x in np.unique(sizes_x).tolist():
         for size_y in np.unique(sizes_y).tolist():
             if max(size_x, size_y) > 2 * min(size_x, size_y):
@@ -250,13 +253,13 @@ def near_pairs(x: tuple, y: tuple | None) -> tuple[np.ndarray, np.ndarray, np.nd
             step = _rows_at_once(size)
             for i in range(0, len(rows_x), step):
                 own = rows_x[i : i + step]
-                signs = _signs(_folded(np.frombuffer(b"".join(x[3][k] for k in own.tolist()), np.uint8).reshape(len(own), size_x), size))
+                signs = _signs(_folded(np.frombuffer(b"".join(x[4][k] for k in own.tolist()), np.uint8).reshape(len(own), size_x), size))
                 for j in range(0, len(rows_y), step):
                     far = rows_y[j : j + step]
-                    theirs = signs if y is None and size_x == size_y and i == j else _signs(_folded(np.frombuffer(b"".join(other[3][k] for k in far.tolist()), np.uint8).reshape(len(far), size_y), size))
+                    theirs = signs if y is None and size_x == size_y and i == j else _signs(_folded(np.frombuffer(b"".join(other[4][k] for k in far.tolist()), np.uint8).reshape(len(far), size_y), size))
                     difference = (8 * size - signs @ theirs.T) / 2
                     n_x, n_y = x[0][own][:, None], other[0][far][None, :]
-                    ok = (9 * difference <= n_x + n_y) & (x[2][own][:, None] != other[2][far][None, :])
+                    ok = (9 * difference <= n_x + n_y) & (x[2][own][:, None] != other[2][far][None, :]) & (x[3][own][:, None] | other[3][far][None, :])
                     ok &= (5 * np.minimum(n_x, n_y) >= 4 * np.maximum(n_x, n_y)) & (9 * np.minimum(x[1][own][:, None], other[1][far][None, :]) >= 4 * (n_x + n_y))
                     if y is None:
                         ok &= own[:, None] < far[None, :]
@@ -270,16 +273,17 @@ def near_pairs(x: tuple, y: tuple | None) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 #: A member in a cell: side 0 meets side 1, and side 2 is both.
-_CELL = ["bucket", "of_group", "x", "y", "side", "id", "n", "left", "component", "bits"]
+_CELL = ["bucket", "of_group", "part", "x", "y", "side", "id", "n", "left", "component", "home", "bits"]
+_KEYS = _CELL[:5]
 
 
 def _compared(nearest_only: bool):
     """Sorted rows of cells to pairs a, b that may be links; of each two components in a cell only the nearest pair, if so wished."""
 
     def cell(rows: list[np.ndarray | list]) -> tuple[np.ndarray, np.ndarray]:
-        side, ids, n, left, component, bits = rows
+        side, ids, n, left, component, home, bits = rows
         parts = [np.flatnonzero(side == k) for k in (0, 1, 2)]
-        pick = lambda at: (n[at], left[at], component[at], [bits[k] for k in at.tolist()])
+        pick = lambda at: (n[at], left[at], component[at], home[at], [bits[k] for k in at.tolist()])
         if len(parts[2]):
             a, b, far = near_pairs(pick(parts[2]), None)
             a, b = parts[2][a], parts[2][b]
@@ -304,15 +308,15 @@ def _compared(nearest_only: bool):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         def ended() -> None:
-            rows = [np.concatenate([part[c] for part in held]) for c in range(5)]
-            out.append(cell([*rows, [v for part in held for v in part[5]]]))
+            rows = [np.concatenate([part[c] for part in held]) for c in range(6)]
+            out.append(cell([*rows, [v for part in held for v in part[6]]]))
 
         for batch in batches:
-            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
             if not len(keys[0]):
                 continue
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4, 9)]
-            bits = batch.column(9).to_pylist()
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5, 11)]
+            bits = batch.column(11).to_pylist()
             new = np.zeros(len(keys[0]), bool)
             for c in keys:
                 new[1:] |= c[1:] != c[:-1]
@@ -335,23 +339,40 @@ def _compared(nearest_only: bool):
     return compare
 
 
-def _across(placed: DataFrame, bitmaps: DataFrame, nearest_only: bool) -> DataFrame:
-    """Pairs a, b that may be links, of members of different components that meet; placed: bucket, of_group, id, n, left, component."""
-    by = ["bucket", "of_group"]
-    rows = placed.groupBy(*by, "component").agg(F.count("*").alias("rows"), F.sum(F.lit(BITMAP_BYTES) + F.col("n")).alias("bytes"))
-    every = rows.groupBy(*by).agg(F.max(F.struct("rows", "component", "bytes")).alias("m"), F.sum("bytes").alias("bytes"), F.count("*").alias("components")).where("components > 1")
+def _parted(placed: DataFrame) -> DataFrame:
+    """Members of buckets (bucket, of_group, id, n, left, component) in parts that may hold a link between two components; adds part and home.
+
+    A part is a class of sizes; it is visited by what is one class smaller and stands early enough in
+    its order to be the smaller set of a pair. Each pair has one part in which one of both is at home.
+    """
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(1.26))).cast("int")  # sets whose sizes differ by a fourth are one class apart at most
+    smaller = 9 * F.col("left") >= 8 * F.col("n")
+    dealt = placed.withColumn("size", size).withColumn("part", F.explode(F.when(smaller, F.array("size", F.col("size") + 1)).otherwise(F.array("size"))))
+    dealt = dealt.withColumn("home", F.col("part") == F.col("size")).drop("size")
+    by = ["bucket", "of_group", "part"]
+    open_ = dealt.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("home").alias("any_home"), F.bool_or(smaller).alias("any_smaller"))
+    return dealt.join(open_.where("lo <> hi AND any_home AND any_smaller").select(*by), by)
+
+
+def _across(parted: DataFrame, bitmaps: DataFrame, nearest_only: bool) -> DataFrame:
+    """Pairs a, b that may be links, of members of different components that meet; parted: rows of _parted()."""
+    by = ["bucket", "of_group", "part"]
+    rows = parted.groupBy(*by, "component").agg(F.count("*").alias("rows"), F.sum(F.lit(BITMAP_BYTES) + F.col("n")).alias("bytes"))
+    every = rows.groupBy(*by).agg(F.max(F.struct("rows", "component", "bytes")).alias("m"), F.sum("bytes").alias("bytes"), F.count("*").alias("components"))
     blocks = lambda size: F.ceil(size / BLOCK_BYTES).cast("int")
-    shape = every.select(*by, F.col("m.component").alias("main"), blocks(F.col("m.bytes")).alias("mains"), blocks(F.col("bytes") - F.col("m.bytes")).alias("others"))
-    open_ = placed.join(shape, by).withColumn("of_main", F.col("component") == F.col("main"))
+    shape = every.select(*by, F.col("m.component").alias("main"), blocks(F.col("m.bytes")).alias("mains"), blocks(F.col("bytes") - F.col("m.bytes")).alias("others"), (F.col("components") == 2).alias("alone"))
+    open_ = parted.join(shape, by).withColumn("of_main", F.col("component") == F.col("main"))
     block = F.pmod(F.xxhash64("id"), F.when(F.col("of_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     cell = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
     own, others, mains = F.col("block"), F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.col("others"), F.col("others") + F.col("mains") - 1)
     to_others = F.transform(others, lambda k: cell(F.least(own, k), F.greatest(own, k), F.when(k == own, 2).when(k > own, 0).otherwise(1)))
     to_mains = F.transform(mains, lambda k: cell(own, k, F.lit(0)))
     from_main = F.transform(others, lambda k: cell(k, own + F.col("others"), F.lit(1)))
+    # with one other component, its members never meet either
+    to_others = F.when(F.col("alone"), F.array().cast("array<struct<x:int,y:int,side:int>>")).otherwise(to_others)
     dealt = open_.withColumn("block", block).withColumn("cell", F.explode(F.when(F.col("of_main"), from_main).otherwise(F.concat(to_others, to_mains))))
-    dealt = dealt.select(*by, "cell.*", "id", "n", "left", "component").join(bitmaps.toDF("id", "bits"), "id").select(*_CELL)
-    return dealt.repartition(*_CELL[:4]).sortWithinPartitions(*_CELL[:4]).mapInArrow(_compared(nearest_only), "a bigint, b bigint").distinct()
+    dealt = dealt.select(*by, "cell.*", "id", "n", "left", "component", "home").join(bitmaps.toDF("id", "bits"), "id").select(*_CELL)
+    return dealt.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_compared(nearest_only), "a bigint, b bigint").distinct()
 
 
 def _shared_count():
@@ -435,14 +456,17 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     links = _verified(pairs, small, docs, "stars")
 
     # what is left: members of different components that meet in a bucket or a group
-    every = met.select(F.col("token").alias("bucket"), F.lit(False).alias("of_group"), "gid", "n", "left").join(crowd.select("gid", "cls"), "gid", "left").select("bucket", "of_group", F.coalesce("cls", "gid").alias("id"), "n", "left")
+    # (the first of a bucket that isn't salted has met all others)
+    every = met.select(F.col("token").alias("bucket"), F.lit(False).alias("of_group"), "gid", "n", "left", (~F.col("hot") & (F.col("gid") == F.col("pivot"))).alias("met_all")).join(crowd.select("gid", "cls"), "gid", "left")
+    every = every.withColumn("id", F.coalesce("cls", "gid")).where(~F.col("met_all") | (F.col("id") != F.col("gid"))).select("bucket", "of_group", "id", "n", "left")
     every = every.union(crowd.select(F.col("gid").alias("bucket"), F.lit(True), F.col("cls"), "n", "n"))
     placed, known = every, components(links)
     for nearest_only in (True, False):
         placed = placed.select("bucket", "of_group", "id", "n", "left").join(known, "id", "left").select("bucket", "of_group", "id", "n", "left", F.coalesce("component", "id").alias("component"))
         mixed = placed.groupBy("bucket", "of_group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "of_group")
         placed = materialise(placed.join(mixed, ["bucket", "of_group"]), "placed")
-        found = materialise(_across(placed, small.select("cls", "bits"), nearest_only).join(pairs, ["a", "b"], "left_anti"), "across")
+        parted = materialise(_parted(placed), "parted")
+        found = materialise(_across(parted, small.select("cls", "bits"), nearest_only).join(pairs, ["a", "b"], "left_anti"), "across")
         more = _verified(found, small, docs, "across")
         if more.head(1):
             links = links.union(more)
