@@ -11,9 +11,10 @@ The scan is one pass in Arrow batches. Candidates (few, and small) are written o
 folder; distinct counts are pre-aggregated in steps, so a value copied into a third of all
 documents is combined before the shuffle, and the join back is an equi-join that may be split.
 
-Null and empty texts have no spans. Spans are code points, end exclusive. Repeated ids are judged
-together as one document's rows only in the output's grouping key: give rows distinct ids. Extra
-columns are ignored.
+Null and empty texts have no spans; texts of any length are scanned whole. Spans are code points, end
+exclusive. Every row has the spans of its own text, also if its id is null or repeated; repeated rows
+get equal spans. Spans that start together are in the order of their kinds. An empty table gives an
+empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import arrow_limits, materialise
+from plumbline.llm.shared import arrow_limits, materialise, unused
 
 KINDS = ("assign", "access", "hex")
 #: The base patterns, and the least length of what counts.
@@ -82,19 +83,41 @@ def ownership(found: DataFrame, repository: str, owner: str, text: str, order: s
     return by_owner.groupBy("value_hash").agg(F.sum("texts").alias("texts"), F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str | None = None, owner_col: str = "source", always: tuple[str, ...] = ()) -> DataFrame:
-    """id_col and spans: array of (start, rank, kind, end, live, owners), every span of a base kind or of one in always, and each other one that is live-looking."""
+def _found(docs: DataFrame, id_col: str, text_col: str, repository_col: str | None, owner_col: str, always: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """row (a number of its own), id, key (hash of the text) of every row, and of those with spans row and spans."""
     arrow_limits(docs.sparkSession)
     repository, text = F.col(repository_col or id_col), F.col(text_col)
     scanned = docs.select(F.col(id_col).alias("id"), repository.alias("repository"), F.coalesce(F.col(owner_col), F.lit("")).alias("owner"), text.alias("text"), candidates(text).alias("spans"))
-    scanned = materialise(scanned.select("id", "repository", "owner", F.when(F.size("spans") > 0, F.sha2("text", 256)).alias("digest"), "spans"), "secrets")
-    spans = scanned.select("id", "repository", "owner", "digest", F.inline("spans"))
+    scanned = scanned.select("id", "repository", "owner", F.xxhash64("text").alias("key"), F.when(F.size("spans") > 0, F.sha2("text", 256)).alias("digest"), "spans", F.monotonically_increasing_id().alias("row"))
+    scanned = materialise(scanned, "secrets")
+    spans = scanned.select("row", "id", "repository", "owner", "digest", F.inline("spans"))
     rank = F.array_position(F.array(*[F.lit(k) for k in (*KINDS, *_ADDED)]), F.col("kind"))
     most = max(MAX_OWNERS, int(MAX_OWNER_SHARE * scanned.select("owner").distinct().count()))
     judged = spans.join(ownership(spans, "repository", "owner", "digest", "id"), "value_hash").withColumn("live", F.col("owners") <= most)
     kept = judged.where(F.col("kind").isin(*KINDS, *always) | F.col("live"))
-    grouped = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end", "live", "owners"))).alias("spans"))
-    return scanned.select("id").join(grouped, "id", "left").select(F.col("id").alias(id_col), F.coalesce("spans", F.array()).alias("spans"))
+    grouped = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end", "live", "owners"))).alias("spans"))
+    return scanned.select("row", "id", "key"), grouped
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str | None = None, owner_col: str = "source", always: tuple[str, ...] = ()) -> DataFrame:
+    """id_col and spans: array of (start, rank, kind, end, live, owners), every span of a base kind or of one in always, and each other one that is live-looking."""
+    rows, spans = _found(docs, id_col, text_col, repository_col, owner_col, always)
+    return rows.join(spans, "row", "left").select(F.col("id").alias(id_col), F.coalesce("spans", F.array()).alias("spans"))
+
+
+def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
+    """The rows of docs, secrets replaced by their kind in brackets; length_col (code points) follows a changed text."""
+    rows, spans = _found(docs, id_col, text_col, options.get("repository_col"), options.get("owner_col", "source"), options.get("always", ()))
+    # rows alike in id and text have the same spans
+    found = rows.join(spans, "row").groupBy(F.col("id").alias("s_id"), F.col("key").alias("s_key")).agg(F.min_by("spans", "row").alias("s_spans"))
+    found = materialise(found, "spans")
+    i, k = unused(docs, "s_id"), unused(docs, "s_key")
+    found = found.select(F.col("s_id").alias(i), F.col("s_key").alias(k), F.col("s_spans").alias(s := unused(docs, "s_spans")))
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(k)), "left")
+    joined = joined.withColumn(text_col, F.when(F.col(s).isNotNull(), redacted(F.col(text_col), F.col(s))).otherwise(F.col(text_col)))
+    if length_col is not None:
+        joined = joined.withColumn(length_col, F.when(F.col(s).isNotNull(), F.length(text_col).cast("bigint")).otherwise(F.col(length_col)))
+    return joined.select(*docs.columns)
 
 
 def span_text(spans: Column) -> Column:
