@@ -8,13 +8,16 @@ partial one. Integrating a source's schedule gives its cumulative demand for wor
 the middle of each document's words gives the document's training position, by which the result is
 range-sorted.
 
-Running sums within a source go through hash buckets (sum per bucket, then within each bucket), so a
-source with a third of all rows is spread over many tasks. The per-source table has one row for each
-source and is joined under Spark's own size check.
-
-Null text: size 0. Null source: a source of its own, last in the order. Documents of size 0 are
-returned with taken 0. Repeated ids count as separate documents, ordered by text hash. Extra columns
-are ignored. An empty table gives an empty result.
+Running sums within a source go through hash buckets and groups of buckets (sums per group, per bucket
+in each group, then within each bucket), so a source with a third of all rows is spread over many
+tasks and none of the three steps sees more than about the square root of its buckets. The per-source
+table has one row for each source, is sorted in one task and joined under Spark's own size check.
+
+Null text: size 0; texts of any length are counted whole. Null source: a source of its own, last in
+the order. Documents of size 0 are returned with taken 0. Repeated and null ids: every row is a
+document of its own, in order of text hash; rows alike in all columns may be taken differently often.
+Ties of the draw go by id, then by text hash. Extra columns are ignored, and carried by
+mixed_documents whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from plumbline.llm.shared import materialise, unused
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Relative rate of a source at the start and at the end, repeating over the sources like the weights.
 SCHEDULES = ((1.0, 1.0), (0.5, 1.5), (1.5, 0.5))
 MAX_REPEATS = 3
 #: Documents per hash bucket of a source, roughly; the number of buckets grows with the table.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 
 
 def _cycle(rank: Column, values) -> Column:
@@ -87,10 +92,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, in order of training position."""
-    taken = placed(docs, id_col, whole_documents=True, **options).where("taken > 0")
-    uses = taken.select(id_col, F.explode(F.sequence(F.lit(0), F.round("passes").cast("int") - 1)).alias("use"), "middle", "source_size", "target", "rate0", "rate1", "total_words")
-    at = uses.select(id_col, (_inverse_share(F.least(F.lit(1.0), (F.col("use") * F.col("source_size") + F.col("middle")) / F.col("target")), F.col("rate0"), F.col("rate1")) * F.col("total_words")).alias("_position"))
-    return docs.join(at, id_col).orderBy("_position", id_col).select(*docs.columns)
+    key, at = unused(docs, "key"), unused(docs, "at")
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    # rows alike in all columns stand for one another: their places are told by id and key
+    taken = placed(keyed, id_col, key_col=key, whole_documents=True, **options)
+    taken = materialise(taken.select(F.col(id_col).alias("p_id"), F.col("key").alias("p_key"), "taken", "passes", "middle", "source_size", "target", "rate0", "rate1", "total_words"), "mix")
+    uses = taken.where("taken > 0").select("*", F.explode(F.sequence(F.lit(0), F.round("passes").cast("int") - 1)).alias("use"))
+    position = _inverse_share(F.least(F.lit(1.0), (F.col("use") * F.col("source_size") + F.col("middle")) / F.col("target")), F.col("rate0"), F.col("rate1")) * F.col("total_words")
+    uses = uses.select(F.col("p_id").alias(i := unused(docs, "p_id")), F.col("p_key").alias(k := unused(docs, "p_key")), position.alias(at))
+    twice = taken.groupBy("p_id", "p_key").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("p_id").alias(i), F.col("p_key").alias(k))
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (F.col(key) == F.col(k))
+    own = keyed
+    if twice.head(1):
+        again = keyed.join(twice, same, "left_semi").groupBy(id_col, key).agg(F.any_value(F.struct(*keyed.columns)).alias("row")).select("row.*")
+        own = keyed.join(twice, same, "left_anti").unionByName(again)
+    return own.join(uses, same).orderBy(at, id_col, key).select(*docs.columns)
 
 
 def placed(
@@ -103,8 +119,9 @@ def placed(
     max_repeats: int = MAX_REPEATS,
     seed: int = 17,
     whole_documents: bool = False,
+    key_col: str | None = None,
 ) -> DataFrame:
-    """What mix() returns and how each position came about, unsorted."""
+    """What mix() returns and how each position came about, unsorted; with key_col, that column as ``key``."""
     sized = docs.select(
         F.col(id_col),
         F.col(source_col).isNull().alias("no_source"),
@@ -112,15 +129,20 @@ def placed(
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.col(id_col), F.lit(seed)).alias("draw"),
         F.xxhash64(F.col(text_col)).alias("tie"),
+        (F.lit(None).cast("bigint") if key_col is None else F.col(key_col)).alias("key"),
     )
     # one aggregate gives the sizes of buckets, and these the sizes of sources: the texts are read once for it
     rows = F.greatest(F.lit(16), F.ceil(F.lit(_row_estimate(docs)) / BUCKET_ROWS)).cast("long")
     sized = sized.withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 1), rows))
     buckets = sized.groupBy("no_source", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    in_source = W.partitionBy("no_source", "source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0))).drop("bucket_size")
+    grouped = buckets.withColumn("group", F.floor(F.col("bucket") / F.ceil(F.sqrt(rows))))
+    groups = grouped.groupBy("no_source", "source", "group").agg(F.sum("bucket_size").alias("group_size"))
+    before_it = lambda size, order, *by: F.coalesce(F.sum(size).over(W.partitionBy("no_source", "source", *by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    group_starts = groups.withColumn("group_start", before_it("group_size", "group")).drop("group_size")
+    starts = grouped.withColumn("in_group", before_it("bucket_size", "bucket", "group")).join(group_starts, ["no_source", "source", "group"])
+    starts = starts.select("no_source", "source", "bucket", (F.col("group_start") + F.col("in_group")).alias("bucket_start"))
     targets = source_targets(buckets.groupBy("no_source", "source").agg(F.sum("bucket_size").alias("source_size")), weights, schedules, max_repeats)
-    in_bucket = W.partitionBy("no_source", "source", "bucket").orderBy("draw", id_col, "tie").rowsBetween(W.unboundedPreceding, -1)
+    in_bucket = W.partitionBy("no_source", "source", "bucket").orderBy("draw", id_col, "tie", "key").rowsBetween(W.unboundedPreceding, -1)
     passes = F.floor(F.try_divide("target", F.col("source_size"))).cast("long")
     rest = F.floor(F.col("target") - F.col("full_passes") * F.col("source_size") + F.lit(1e-6)).cast("long")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
