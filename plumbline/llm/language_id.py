@@ -7,14 +7,16 @@ are frozen: a text's code length under each language is the exact sum over its b
 shortest wins. The score is the winner's share of 2^-length per language, over the text's length
 scaled to at most ``SCORE_BYTES``.
 
-Training texts are a sample of labelled rows, bounded by about ``TRAIN_ROWS`` per language and
-``TRAIN_BYTES`` per language in all; it is drawn by a hash of the id, so reruns agree. More than
-``MAX_LANGUAGES`` labelled languages are an error: none is left out unsaid. The model's size follows
-from these bounds and is broadcast. Prediction is one pass without a shuffle, for each
+Training texts are a sample of labelled rows: about ``TRAIN_ROWS`` per language and at most
+``TRAIN_BYTES`` of them, and ``ALL_ROWS`` and ``ALL_BYTES`` in all, so with very many languages each
+has fewer, but none is left out. It is drawn by a hash of the id, so reruns agree. The model's size
+follows from these bounds and is broadcast. Prediction is one pass without a shuffle, for each
 slice of a batch a few table lookups per byte, and reads whole texts.
 
 Null texts, and texts without a letter, get ``und`` with score 0, as does everything if no row is
-labelled. Ties go to the language first by name. Extra columns are ignored.
+labelled. Texts of any length are read whole. Ties go to the language first by name. A row with a null
+id is neither held out nor learned from; rows that repeat an id are all held out or all not, and each
+is predicted from its own text. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,32 +31,33 @@ from plumbline.llm.shared import arrow_limits, as_bytes, slices
 
 ORDER = 4
 TRAIN_ROWS = 400
-#: Languages that a model can hold; more are refused, as those left out would never be predicted.
-MAX_LANGUAGES = 500
 TRAIN_BYTES = 1_500_000
+#: Bounds of the whole sample, shared evenly by the languages; each has LEAST_ROWS, or all it has, in any case.
+LEAST_ROWS = 25
+ALL_ROWS = 100_000
+ALL_BYTES = 256_000_000
 SCORE_BYTES = 64
 _LETTER = regex.compile(r"\p{L}")
 
 
 def training_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS) -> list[tuple[str, bytes]]:
-    """About ``rows`` rows of each language, drawn by hash of the id; the bound holds for any table size."""
-    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    shares = usable.groupBy(lang_col).agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*")).alias("share"))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
-    known = shares.orderBy("share", lang_col).limit(MAX_LANGUAGES + 1).collect()
-    if len(known) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labelled languages")
-    if not known:
+    """About ``rows`` rows of each language (fewer, if there are very many), drawn by hash of the id; the bound holds for any table size."""
+    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    counts = usable.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(lang_col).collect()
+    if not counts:
         return []
+    rows = max(LEAST_ROWS, min(rows, ALL_ROWS // len(counts)))
+    most = min(TRAIN_BYTES, ALL_BYTES // len(counts))
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
     # literals of the plan: nothing is shuffled for the sample
-    share = F.try_element_at(F.create_map(*[F.lit(x) for r in known for x in r]), F.col(lang_col))
+    share = F.try_element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, rows / r.n))]), F.col(lang_col))
     drawn = usable.where(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
-    got = drawn.orderBy("draw").limit(rows * len(known) * 2).select("lang", "text").toLocalIterator()
+    got = drawn.orderBy("draw").limit(rows * len(counts) * 2).select("lang", "text").toLocalIterator()
     held: dict[str, int] = {}
     out = []
     for lang, text in got:
         data = text.encode()
-        if held.get(lang, 0) + len(data) <= TRAIN_BYTES or lang not in held:
+        if held.get(lang, 0) + len(data) <= most or lang not in held:
             held[lang] = held.get(lang, 0) + len(data)
             out.append((lang, data))
     return out
@@ -211,7 +214,7 @@ def language(text: Column, model: Model, spark) -> Column:
 
 
 def held_out(id_col: str) -> Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
