@@ -20,14 +20,16 @@ def url_reputation() -> str:
     two = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
     rules = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
     fit = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')", h + p, v) for v, h, p in rules]
-    last = lambda k: f"array_to_string(string_split(host, '.')[-{k}:], '.')"
+    name = f"regexp_replace(host, '{urls._PORT}', '')"
+    address = f"regexp_matches({name}, '{urls._ADDRESS}')"
+    last = lambda k: f"array_to_string(string_split({name}, '.')[-{k}:], '.')"
     sums = "CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad"
     mean = "alpha / (alpha + beta) AS prior"
     total = "(alpha + beta)"
     return f"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '{_PATTERN}', 1), '{urls._UPPER}', '{urls._LOWER}'), '') AS host, coalesce(regexp_extract(url, '{_PATTERN}', 2), '') AS path FROM pages),
     r AS (SELECT *, CASE {' '.join(f"WHEN {c} THEN '{r}'" for c, r, _ in fit)} END AS rule, CASE {' '.join(f"WHEN {c} THEN '{v}'" for c, _, v in fit)} END AS ruled FROM p),
     c AS (SELECT host, count(rule) AS n, CAST(coalesce(sum(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END), 0) AS BIGINT) AS bad FROM r GROUP BY 1),
-    h AS (SELECT host, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix, n, bad FROM c),
+    h AS (SELECT host, CASE WHEN {address} THEN {name} WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {address} THEN '' WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix, n, bad FROM c),
     d AS (SELECT domain, suffix, {sums} FROM h GROUP BY ALL), s AS (SELECT suffix, {sums} FROM d GROUP BY ALL),
     {_level("by_suffix", f"SELECT *, CAST({urls.ROOT_RATE} AS DOUBLE) AS prior FROM s")},
     {_level("by_domain", f"SELECT d.*, x.prior FROM d JOIN (SELECT suffix, {mean} FROM by_suffix) x USING (suffix)")},
