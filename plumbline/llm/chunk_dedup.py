@@ -3,20 +3,22 @@
 A gear hash rolls over the bytes (32 of them matter); a chunk ends where its low bits are zero, but
 not before ``MIN_CHUNK`` bytes and after ``MAX_CHUNK`` at the latest. Cuts depend on nearby content
 only, so an insertion shifts no chunk but its own. Chunks are compared by 128-bit digests; the first
-(smallest id, then position) of each stays. Runs of repeated chunks of at least ``MIN_RUN`` bytes
-are removed, which leaves phrases alone that happen to be equal.
+(smallest id, then position) of each stays. Runs of repeated chunks are removed, all or those of at
+least ``min_run`` bytes.
 
 With ``extend``, as op3 has it, chunks are only where the search starts: a run of any length grows to
 both sides, byte by byte and by at most ``REACH``, for as long as its text equals that around the
-first occurrence. It is then removed if it has ``MIN_REPEAT`` bytes, which 51 words always have, or
-covers its whole document. Only the bytes around first occurrences are moved for that.
+first occurrence. It is then removed if it has ``min_repeat`` bytes (``MIN_REPEAT``, which 51 words
+always have), or covers its whole document. Only the bytes around first occurrences are moved for that.
 
 A first aggregate counts 64-bit keys with map-side combining; only chunks whose key is repeated are
 shuffled with their digests. Joins are equi-joins that may be split, so a chunk of a third of all
 documents is no bottleneck. Texts are shuffled once, to be cut.
 
-Null and empty texts have no chunks. Rows that share an id count as one document. Ids are integers.
-Extra columns are ignored.
+Null and empty texts have no chunks; a text of any length is cut like others. Ids are integers. Rows
+that share an id are documents of their own, in order of a hash of the text, and a null id comes
+last; rows alike in id and text are one document and get equal results. An empty table gives an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from plumbline.llm.cutting import RESULT, cut_all, without_spans
+from plumbline.llm.cutting import RESULT, cut_all, in_order, without_spans
 from plumbline.llm.shared import arrow_limits, as_bytes, materialise, slices
 
 CUT_BITS = 4
 MIN_CHUNK, MAX_CHUNK = 16, 256
-MIN_RUN = 150
 #: Least bytes of an extended run, and how far it is extended to each side.
 MIN_REPEAT = 100
 REACH = 320
@@ -99,10 +100,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ascontiguousarray(digest[:, 0]), np.ascontiguousarray(digest[:, 1]), ids[a:b][which], start, end)], ["d0", "d1", "id", "start", "end"])
 
 
-def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, start, end of the runs of repeated chunks, and where the first and the last of their chunks are met first: before (id, at), after (id, at)."""
-    arrow_limits(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+def _runs(own: DataFrame) -> DataFrame:
+    """doc, start, end of the runs of repeated chunks, and where the first and the last of their chunks are met first: before (id, at), after (id, at)."""
+    own = own.select(F.col("doc").alias("id"), "text").where("text IS NOT NULL")
     often = materialise(own.select("text").mapInArrow(_keys, "d0 bigint").groupBy("d0").agg(F.count("*").alias("n")).where("n > 1").select("d0"), "chunk-keys")
     chunks = own.mapInArrow(_chunks, "d0 bigint, d1 bigint, id bigint, start bigint, end bigint")
     met = materialise(chunks.join(often, "d0"), "chunks")
@@ -115,12 +115,12 @@ def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     met_last = F.struct(F.col("first.id").alias("id"), (F.col("first.start") + F.col("end") - F.col("start")).alias("at"))
     met_first = F.struct(F.col("first.id").alias("id"), F.col("first.start").alias("at"))
     ends = numbered.groupBy("id", "run").agg(F.min(F.struct("start", met_first.alias("met"))).alias("a"), F.max(F.struct("end", met_last.alias("met"))).alias("b"))
-    return ends.select("id", F.col("a.start").alias("start"), F.col("b.end").alias("end"), F.col("a.met").alias("before"), F.col("b.met").alias("after"))
+    return ends.select(F.col("id").alias("doc"), F.col("a.start").alias("start"), F.col("b.end").alias("end"), F.col("a.met").alias("before"), F.col("b.met").alias("after"))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, start, end of the runs of chunks to remove."""
-    return _runs(docs, id_col, text_col).where(F.col("end") - F.col("start") >= MIN_RUN).select("id", "start", "end")
+def repeated_runs(own: DataFrame, min_run: int = 0) -> DataFrame:
+    """doc, start, end of the runs of chunks to remove; own: rows of in_order()."""
+    return _runs(own).where(F.col("end") - F.col("start") >= min_run).select("doc", "start", "end")
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,7 @@ def _alike(a: bytes, b: bytes, order: str) -> int:
     return len(a) - ((int.from_bytes(a, order) ^ int.from_bytes(b, order)).bit_length() + 7) // 8
 
 
-def extended(text: bytes, runs: list[dict]) -> list[tuple[int, int]]:
+def extended(text: bytes, runs: list[dict], min_repeat: int = MIN_REPEAT) -> list[tuple[int, int]]:
     """Spans to remove: runs (start, end, before, after: bytes around the first occurrence) that are long enough, or are all of the text, once extended."""
     spans = []
     for r in runs:
@@ -151,40 +151,41 @@ def extended(text: bytes, runs: list[dict]) -> list[tuple[int, int]]:
         a -= _alike(text[a - k : a], before[len(before) - k :], "little")
         k = min(len(text) - b, len(after))
         b += _alike(text[b : b + k], after[:k], "big")
-        if b - a >= MIN_REPEAT or (a == 0 and b == len(text)):
+        if b - a >= min_repeat or (a == 0 and b == len(text)):
             spans.append((a, b))
     return spans
 
 
-def _cut(text: Column, runs: Column) -> Column:
+def _cut(text: Column, runs: Column, min_repeat: int) -> Column:
     @F.arrow_udf(RESULT)
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
         own = as_bytes(texts)
-        spans = [extended(t, r or []) for t, r in zip(own, found.to_pylist(), strict=True)]
+        spans = [extended(t, r or [], min_repeat) for t, r in zip(own, found.to_pylist(), strict=True)]
         return cut_all(own, [[a for a, _ in s] for s in spans], [[b for _, b in s] for s in spans])
 
     return cut(text, runs)
 
 
-def _without_extended(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    runs = materialise(_runs(docs, id_col, text_col), "chunk-runs")
+def _without_extended(own: DataFrame, id_col: str, min_repeat: int) -> DataFrame:
+    runs = materialise(_runs(own).withColumnRenamed("doc", "id"), "chunk-runs")
     sides = [runs.select(F.col(f"{side}.id").alias("id"), F.col(f"{side}.at").alias("at"), F.lit(side == "after").alias("ahead")) for side in ("before", "after")]
     points = sides[0].union(sides[1]).distinct().groupBy("id").agg(F.collect_list(F.struct("at", "ahead")).alias("points"))
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    # rows that share an id have several
-    around = own.join(points, "id").select("id", "text", "points").mapInArrow(_contexts, "id bigint, at bigint, ahead boolean, bytes binary")
+    # a document given more than once has several
+    around = own.select(F.col("doc").alias("id"), "text").where("text IS NOT NULL").join(points, "id").select("id", "text", "points").mapInArrow(_contexts, "id bigint, at bigint, ahead boolean, bytes binary")
     around = materialise(around.groupBy("id", "at", "ahead").agg(F.max("bytes").alias("bytes")), "chunk-contexts")
     for side in ("before", "after"):
         found = around.where(F.col("ahead") == (side == "after")).select(F.struct("id", "at").alias(side), F.col("bytes").alias(f"{side}_bytes"))
         runs = runs.join(found, side, "left")
     runs = materialise(runs.select("id", F.struct("start", "end", F.col("before_bytes").alias("before"), F.col("after_bytes").alias("after")).alias("run")), "chunk-extended")
-    grouped = runs.groupBy("id").agg(F.collect_list("run").alias("runs"))
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(grouped, "id", "left")
-    return joined.select(F.col("id").alias(id_col), _cut(F.col("text"), F.col("runs")).alias("cut")).select(id_col, "cut.*")
+    grouped = runs.groupBy(F.col("id").alias("doc")).agg(F.collect_list("run").alias("runs"))
+    joined = own.join(grouped, "doc", "left")
+    return joined.select(F.col("id").alias(id_col), _cut(F.col("text"), F.col("runs"), min_repeat).alias("cut")).select(id_col, "cut.*")
 
 
-def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extend: bool = False) -> DataFrame:
-    """id_col, n_bytes, n_removed, n_spans, kept (bytes) for every row; extend: see above."""
+def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extend: bool = False, min_run: int = 0, min_repeat: int = MIN_REPEAT) -> DataFrame:
+    """id_col, n_bytes, n_removed, n_spans, kept (bytes) for every row. min_run holds for runs of whole chunks, min_repeat with extend."""
+    arrow_limits(docs.sparkSession)
+    own = in_order(docs, id_col, text_col)
     if extend:
-        return _without_extended(docs, id_col, text_col)
-    return without_spans(docs, materialise(repeated_runs(docs, id_col, text_col), "chunk-runs"), id_col, text_col)
+        return _without_extended(own, id_col, min_repeat)
+    return without_spans(own, materialise(repeated_runs(own, min_run), "chunk-runs"), id_col)

@@ -1,4 +1,4 @@
-"""Removing byte spans from texts, for the operators that find repeats."""
+"""Numbering documents in order, and removing byte spans from their texts, for the operators that find repeats."""
 
 from __future__ import annotations
 
@@ -7,11 +7,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import as_bytes
+from plumbline.llm.shared import as_bytes, materialise
 
 RESULT = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>"
 
 
+def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, doc, text of every row; doc orders documents and tells them apart.
+
+    Where ids are distinct and not null, doc is the id. Else rows are ordered by id (null last), then
+    by a hash of the text; rows alike in both are one document, given more than once.
+    """
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    if not own.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").head(1):
+        return own.select("id", F.col("id").alias("doc"), "text")
+    keyed = own.withColumn("key", F.xxhash64("text"))
+    # numbers rise with the partitions of a range sort, and within them
+    numbers = keyed.select("id", "key").distinct().orderBy(F.col("id").asc_nulls_last(), "key").select(F.col("id").alias("of"), F.col("key").alias("its_key"), F.monotonically_increasing_id().alias("doc"))
+    numbers = materialise(numbers, "documents")
+    return keyed.join(numbers, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("its_key"))).select("id", "doc", "text")
+
+
 def remove_spans(text: bytes, begins: list[int], ends: list[int]) -> tuple[int, int, bytes]:
     """(bytes removed, maximal removed runs, what stays) for spans in any order, overlapping or not."""
     removed, runs, parts, at, last = 0, 0, [], 0, -1
@@ -45,8 +61,8 @@ def _cut(text: Column, begins: Column, ends: Column) -> Column:
     return cut(text, begins, ends)
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col and the fields of RESULT; spans: id, start, end in bytes, any number per document."""
-    grouped = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(grouped, "id", "left")
+def without_spans(own: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
+    """id_col and the fields of RESULT for each row of in_order(); spans: doc, start, end in bytes, any number per document."""
+    grouped = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    joined = own.join(grouped, "doc", "left")
     return joined.select(F.col("id").alias(id_col), _cut(F.col("text"), F.col("spans.start"), F.col("spans.end")).alias("cut")).select(id_col, "cut.*")

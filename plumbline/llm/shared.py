@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -30,11 +31,13 @@ def arrow_limits(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is configured."""
+    """The folder all executors share; a local one only where none is configured and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         import tempfile
 
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -91,10 +94,10 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def slices(arr: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int]]:
     """[start, end) ranges of a string or binary array, each of about limit bytes at most."""
     sizes = pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    start, held = 0, 0
+    start, held, limit = 0, 0, limit or SLICE_BYTES
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > limit:
             yield start, i

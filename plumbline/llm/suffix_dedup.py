@@ -5,22 +5,28 @@ function of the string alone. Neighbouring strings with the same anchor form a b
 have equal anchor grams, so strings whose anchor gram occurs once in the corpus are unique; blocks
 with a repeated gram are the candidates (counted over all texts, combined before the shuffle).
 
-1. Candidate blocks with equal content: all but the first are repeats in full.
+1. Candidate blocks with equal content are combined before the sort, as equal keys are before a
+   shuffle: all but the first are repeats in full.
 2. First occurrences whose gram has several contents go through the sort. Each task sorts the
    suffixes that start at its blocks' anchors, front-codes the run (length of the prefix shared with
    the one before, then the rest) and cuts it by range; runs of a range are merged by a loser tree
    whose entries know the prefix they share with the last winner, so known prefixes are never
    compared again. The merged order gives the longest common prefix of neighbours, and so which
    strings around an anchor can be repeated at all; left contexts decide among these.
-3. Grams with more than ``MAX_CONTEXTS`` contents (a line that very many documents share) would
-   make one range large. Their strings are dealt by 128-bit digest instead, in sorted runs that each
-   task has combined, so that a string is sent once by each task.
-
-Equal block contents are told by 64-bit digest within a 64-bit gram hash. Joins are equi-joins of
-written tables that may be split. Texts are shuffled twice: for the blocks to sort, and to be cut.
-
-Null and empty texts have no strings. Rows that share an id count as one document. Ids are integers.
-Texts of 256 MB or more are refused. Extra columns are ignored.
+3. A range can't cut through a gram, so grams with more than ``max_contexts`` contents (a line that
+   very many documents share) are taken out of it: each of their strings is a suffix of its own. They
+   go through the same runs and trees, in ranges that cut anywhere; of strings that a run has twice
+   only the first is kept.
+
+Ranges are drawn from a sample of the suffixes themselves, and as many as keep a range near
+``RANGE_SUFFIXES``. Equal block contents are told by 64-bit digest within a 64-bit gram hash. Joins
+are equi-joins of written tables that may be split. Texts are shuffled twice: for the blocks to sort,
+and to be cut.
+
+Null and empty texts have no strings; texts of any length are read in overlapping pieces. Ids are
+integers. Rows that share an id are documents of their own, in order of a hash of the text, and a
+null id comes last; rows alike in id and text are one document and get equal results. An empty table
+gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,17 +41,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.cutting import without_spans
+from plumbline.llm.cutting import in_order, without_spans
 from plumbline.llm.shared import arrow_limits, as_bytes, materialise, slices
 
 WIDTH = 100
 GRAM = 24
 MAX_CONTEXTS = 2048
-#: Suffixes that a task sorts at once.
+#: Suffixes that a task sorts at once, and strings of crowded grams.
 RUN_SUFFIXES = 1 << 16
-RUN_STRINGS = 1 << 19
-#: Documents and grams from which the ranges are drawn; only balance depends on them.
-SPLITTER_DOCUMENTS = 256
+RUN_STRINGS = 1 << 18
+#: Suffixes of a range, about, and how many are drawn for each range's limits; only balance depends on these.
+RANGE_SUFFIXES = 1 << 17
+DRAWN = 16
+#: Bytes of a text that are worked on at once.
+PIECE_BYTES = 64 << 20
 _POSITION = np.uint64(28)
 _MULTIPLIERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8)]
 
@@ -53,8 +62,6 @@ _MULTIPLIERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4
 def blocks(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, number of strings, anchor position, gram hash) of each block of texts laid end to end."""
     none = np.zeros(0, np.int64)
-    if len(data) >= 1 << int(_POSITION):
-        raise ValueError("a text is too long for suffix_dedup")
     if len(data) < WIDTH:
         return none, none, none, none.astype(np.uint64)
     h = data.astype(np.uint64) + np.uint64(1)
@@ -82,30 +89,36 @@ def blocks(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return inside[first], np.diff(np.r_[first, len(inside)]), own[first], gram[own[first]]
 
 
-def _sliced(texts: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+def _sliced(texts: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray, int]]:
+    """(first text, end, their bytes, where each ends, offset of the bytes); a very long text comes alone, in pieces that share WIDTH - 1 bytes."""
     for a, b in slices(texts):
         own = as_bytes(texts[a:b])
-        yield a, b, b"".join(own), np.cumsum([len(t) for t in own])
+        if b == a + 1:
+            for at in range(0, max(1, len(own[0]) - WIDTH + 1), PIECE_BYTES):
+                piece = own[0][at : at + PIECE_BYTES + WIDTH - 1]
+                yield a, b, piece, np.array([len(piece)]), at
+        else:
+            yield a, b, b"".join(own), np.cumsum([len(t) for t in own]), 0
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, ends in _sliced(batch.column(0)):
+        for _, _, data, ends, _ in _sliced(batch.column(0)):
             h, n = np.unique(blocks(np.frombuffer(data, np.uint8), ends)[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["gram", "n"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """gram, content digest, id, and start, number of strings and anchor offset packed as one number."""
+    """gram, content digest, doc, and start, number of strings and anchor offset packed as one number."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, b, data, ends in _sliced(batch.column(1)):
+        for a, b, data, ends, offset in _sliced(batch.column(1)):
             start, count, anchor, gram = blocks(np.frombuffer(data, np.uint8), ends)
             content = np.fromiter((xxhash.xxh3_64_intdigest(data[x : x + n + WIDTH - 1]) for x, n in zip(start.tolist(), count.tolist(), strict=True)), np.uint64, len(start))
             text = np.searchsorted(ends, start, side="right")
-            at = start - np.r_[0, ends][text]
+            at = start - np.r_[0, ends][text] + offset
             packed = (at << 14) | (count << 7) | (anchor - start)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), content.view(np.int64), ids[a:b][text], packed)], ["gram", "content", "id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), content.view(np.int64), ids[a:b][text], packed)], ["gram", "content", "doc", "at"])
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -240,26 +253,30 @@ def merge_runs(runs: list[bytes]) -> list[tuple[int, int, int]]:
     return out
 
 
-#: A string of a crowded gram: digest, and where it starts.
-_STRING = np.dtype([("d0", np.uint64), ("d1", np.uint64), ("id", np.int64), ("start", np.int64)])
-
+def merge_strings(runs: list[bytes]) -> list[tuple[int, int, int]]:
+    """(doc, start, end) of all but the first of equal strings, among runs of whole strings."""
+    repeats: list[tuple[int, int]] = []
+    first: tuple[int, int] | None = None
+    for _, common, (_, _, who, start) in LoserTree(runs):
+        at = (who, start)
+        if common < WIDTH:
+            first = at
+        else:
+            repeats.append(max(first, at))
+            first = min(first, at)
+    return _spans(repeats)
 
-def first_of_each(strings: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The earliest of equal strings, sorted by digest, and the spans that the others cover."""
-    ordered = np.sort(strings, order=["d0", "d1", "id", "start"])
-    first = np.r_[True, (ordered["d0"][1:] != ordered["d0"][:-1]) | (ordered["d1"][1:] != ordered["d1"][:-1])] if len(ordered) else np.zeros(0, bool)
-    later = ordered[~first]
-    return ordered[first], _spans(list(zip(later["id"].tolist(), later["start"].tolist(), strict=True)))
 
+_RUN_ROWS = pa.schema([("part", pa.int32()), ("run", pa.binary()), ("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
-_RUN_ROWS = pa.schema([("part", pa.int32()), ("run", pa.binary()), ("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
+def _sorted_runs(splitters: list[bytes], crowd_splitters: list[bytes]):
+    parts = len(splitters) + 1
 
-def _sorted_runs(splitters: list[bytes], parts: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, text, blocks) to front-coded runs by range, to runs of crowded strings by digest (parts from ``parts`` on), and to spans of repeats within the task."""
+        """(doc, text, blocks) to front-coded runs by range, of suffixes and (parts from ``parts`` on) of crowded strings, and to spans of strings that a run repeats."""
         held: list[tuple] = []
-        crowd: list[np.ndarray] = []
+        crowd: list[tuple] = []
 
         def rows(runs: dict[int, bytes], spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
             m, n = len(runs), len(spans)
@@ -268,38 +285,42 @@ def _sorted_runs(splitters: list[bytes], parts: int):
                 [pa.array([*runs, *[None] * n], pa.int32()), pa.array([*runs.values(), *[None] * n], pa.binary()), *[pa.array([*[None] * m, *x], pa.int64()) for x in (ids, starts, ends)]], schema=_RUN_ROWS
             )
 
+        def ranged(entries: list[tuple], limits: list[bytes], first: int, width: int) -> dict[int, bytes]:
+            ranges: dict[int, list[tuple]] = {}
+            for e in entries:
+                ranges.setdefault(first + bisect_right(limits, e[0][:width]), []).append(e)
+            return {k: front_code(v) for k, v in ranges.items()}
+
         def flush_suffixes() -> pa.RecordBatch:
             held.sort()
-            ranges: dict[int, list[tuple]] = {}
-            for e in held:
-                ranges.setdefault(bisect_right(splitters, e[0][:GRAM]), []).append(e)
+            out = rows(ranged(held, splitters, 0, GRAM), [])
             held.clear()
-            return rows({k: front_code(v) for k, v in ranges.items()}, [])
+            return out
 
         def flush_strings() -> pa.RecordBatch:
-            kept, spans = first_of_each(np.concatenate(crowd))
+            crowd.sort()  # of equal strings, the first document's comes first
+            kept: list[tuple] = []
+            again: list[tuple[int, int]] = []
+            for e in crowd:
+                if kept and kept[-1][0] == e[0]:
+                    again.append((e[3], e[4]))
+                else:
+                    kept.append(e)
             crowd.clear()
-            part = (kept["d1"] % np.uint64(parts)).astype(np.int64)
-            return rows({parts + int(k): kept[part == k].tobytes() for k in np.unique(part)}, spans)
+            return rows(ranged(kept, crowd_splitters, parts, WIDTH), _spans(again))
 
         for batch in batches:
             for who, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data, digests, starts = text.encode(), [], []
+                data = text.encode()
                 for b in own:
                     start, strings, anchor = b["at"] >> 14, (b["at"] >> 7) & 127, b["at"] & 127
                     if b["crowded"]:
-                        starts += range(start, start + strings)
-                        digests += [xxhash.xxh3_128_digest(data[s : s + WIDTH]) for s in range(start, start + strings)]
+                        crowd += [(data[s : s + WIDTH], b"", 1, who, s) for s in range(start, start + strings)]
                     else:
                         held.append((data[start + anchor : start + strings + WIDTH - 1], data[start : start + anchor], strings, who, start))
-                if digests:
-                    found = np.empty(len(digests), _STRING)
-                    found["d0"], found["d1"] = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2).T
-                    found["id"], found["start"] = who, starts
-                    crowd.append(found)
                 if len(held) >= RUN_SUFFIXES:
                     yield flush_suffixes()
-                if digests and sum(map(len, crowd)) >= RUN_STRINGS:
+                if len(crowd) >= RUN_STRINGS:
                     yield flush_strings()
         if held:
             yield flush_suffixes()
@@ -311,46 +332,57 @@ def _sorted_runs(splitters: list[bytes], parts: int):
 
 def _merge(parts: int):
     def merge(key, runs: pd.DataFrame) -> pd.DataFrame:
-        if key[0] < parts:
-            found = merge_runs(runs["run"].tolist())
-        else:
-            found = first_of_each(np.concatenate([np.frombuffer(r, _STRING) for r in runs["run"]]))[1]
-        return pd.DataFrame(found, columns=["id", "start", "end"]).astype("int64")
+        found = (merge_runs if key[0] < parts else merge_strings)(runs["run"].tolist())
+        return pd.DataFrame(found, columns=["doc", "start", "end"]).astype("int64")
 
     return merge
 
 
-def _splitters(own: DataFrame, parts: int) -> list[bytes]:
-    some = own.select("text").where(F.length("text") > GRAM).limit(SPLITTER_DOCUMENTS).toLocalIterator()
-    grams = sorted(t[i : i + GRAM] for t in (r[0].encode() for r in some) for i in range(0, min(len(t), 20_000) - GRAM, 61))
-    return sorted({grams[k * len(grams) // parts] for k in range(1, parts)}) if grams else []
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, start, end of byte spans covered by strings that also start earlier."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+def _splitters(own: DataFrame, open_: DataFrame, parts: int) -> list[bytes]:
+    """Limits of ``parts`` ranges, at most, from suffixes (crowded: strings) drawn by hash; the sample has DRAWN of them for each range."""
+    if parts < 2:
+        return []
+    drawn = open_.orderBy(F.xxhash64("doc", "at")).limit(DRAWN * parts)
+    start, strings, anchor = F.shiftright("at", 14), F.shiftright("at", 7).bitwiseAND(127), F.col("at").bitwiseAND(127)
+    # a crowded block's strings start anywhere in it
+    begin = F.when(F.col("crowded"), start + F.pmod(F.xxhash64("at", "doc"), strings)).otherwise(start + anchor)
+    length = F.when(F.col("crowded"), WIDTH).otherwise(GRAM)
+    points = F.broadcast(drawn.select("doc", begin.cast("int").alias("begin"), length.alias("length")))
+    cut = F.col("text").cast("binary").substr(F.col("begin") + 1, F.col("length"))
+    found = sorted(bytes(r[0]) for r in own.join(points, "doc").select(cut).distinct().toLocalIterator())
+    return sorted({found[k * len(found) // parts] for k in range(1, parts)}) if found else []
+
+
+def repeated_spans(own: DataFrame, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+    """doc, start, end of byte spans covered by strings that also start earlier; own: rows of in_order()."""
+    spark = own.sparkSession
+    own = own.select("doc", "text").where("text IS NOT NULL")
     often = own.select("text").mapInArrow(_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     often = materialise(often, "grams")
-    met = materialise(own.mapInArrow(_blocks, "gram bigint, content bigint, id bigint, at bigint").join(often, "gram"), "blocks")
-    firsts = materialise(met.groupBy("gram", "content").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).select("gram", "content", "first", "n"), "firsts")
+    met = materialise(own.mapInArrow(_blocks, "gram bigint, content bigint, doc bigint, at bigint").join(often, "gram"), "blocks")
+    firsts = materialise(met.groupBy("gram", "content").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).select("gram", "content", "first", "n"), "firsts")
 
-    copies = met.join(firsts.where("n > 1"), ["gram", "content"]).where(F.struct("id", "at") != F.col("first"))
+    copies = met.join(firsts.where("n > 1"), ["gram", "content"]).where(F.struct("doc", "at") != F.col("first"))
     start = F.shiftright("at", 14)
-    whole = copies.select("id", start.alias("start"), (start + F.shiftright("at", 7).bitwiseAND(127) + WIDTH - 1).alias("end"))
+    whole = copies.select("doc", start.alias("start"), (start + F.shiftright("at", 7).bitwiseAND(127) + WIDTH - 1).alias("end"))
     whole = materialise(whole, "copies")
 
     contexts = materialise(firsts.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1"), "contexts")
-    open_ = firsts.join(contexts, "gram").select(F.col("first.id").alias("id"), F.struct(F.col("first.at").alias("at"), (F.col("contexts") > MAX_CONTEXTS).alias("crowded")).alias("block"))
-    by_doc = open_.groupBy("id").agg(F.collect_list("block").alias("blocks"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = own.join(by_doc, "id").select("id", "text", "blocks").mapInArrow(_sorted_runs(_splitters(own, parts), parts), "part int, run binary, id bigint, start bigint, end bigint")
+    open_ = firsts.join(contexts, "gram").select(F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), (F.col("contexts") > max_contexts).alias("crowded"))
+    open_ = materialise(open_, "open")
+    strings = F.shiftright("at", 7).bitwiseAND(127)
+    rows = {r.crowded: r.n for r in open_.groupBy("crowded").agg(F.sum(F.when(F.col("crowded"), strings).otherwise(1)).alias("n")).collect()}
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limits = [_splitters(own, open_.where(F.col("crowded") == crowded), max(least, -(-rows[crowded] // RANGE_SUFFIXES))) if crowded in rows else [] for crowded in (False, True)]
+    by_doc = open_.groupBy("doc").agg(F.collect_list(F.struct("at", "crowded")).alias("blocks"))
+    runs = own.join(by_doc, "doc").select("doc", "text", "blocks").mapInArrow(_sorted_runs(*limits), "part int, run binary, doc bigint, start bigint, end bigint")
     runs = materialise(runs, "runs")
-    merged = runs.where("part IS NOT NULL").select("part", "run").groupBy("part").applyInPandas(_merge(parts), "id bigint, start bigint, end bigint")
-    return whole.union(materialise(merged, "merged")).union(runs.where("part IS NULL").select("id", "start", "end"))
+    merged = runs.where("part IS NOT NULL").select("part", "run").groupBy("part").applyInPandas(_merge(len(limits[0]) + 1), "doc bigint, start bigint, end bigint")
+    return whole.union(materialise(merged, "merged")).union(runs.where("part IS NULL").select("doc", "start", "end"))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_contexts: int = MAX_CONTEXTS) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (bytes) for every row."""
-    return without_spans(docs, materialise(repeated_spans(docs, id_col, text_col), "spans"), id_col, text_col)
+    arrow_limits(docs.sparkSession)
+    own = in_order(docs, id_col, text_col)
+    return without_spans(own, materialise(repeated_spans(own, max_contexts), "spans"), id_col)
