@@ -8,9 +8,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from plumbline.llm import chunk_dedup, jaccard_join, queries, suffix_dedup, vector_search
+from plumbline.llm import chunk_dedup, jaccard_join, queries, shared, suffix_dedup, vector_search
 from plumbline.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -26,8 +27,7 @@ def cut(text, gone):
 
 
 @pytest.mark.parametrize("crowded", [2048, 2])
-def test_suffix_dedup(docs, rows, empty, monkeypatch, crowded):
-    monkeypatch.setattr(suffix_dedup, "MAX_CONTEXTS", crowded)
+def test_suffix_dedup(docs, rows, empty, crowded):
     seen, want = set(), {}
     for r in sorted(rows):
         text = (r[1] or "").encode()
@@ -37,11 +37,75 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch, crowded):
                 gone[i : i + 100] = b"\1" * 100
             seen.add(text[i : i + 100])
         want[r[0]] = cut(text, gone)
-    assert digest(suffix_dedup.suffix_dedup(docs).collect()) == want
+    assert digest(suffix_dedup.suffix_dedup(docs, max_contexts=crowded).collect()) == want
     if crowded == 2:
         assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("extend", [True, False, None])
+def test_dedup_without_ids_and_with_repeats(spark, extend):
+    """extend None: by suffixes."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(7))
+    a, b = (" ".join(word() for _ in range(60)) for _ in range(2))
+    rows = [(7, a), (7, a), (7, b), (None, a), (None, None), (2, b), (3, "short"), (3, "x" * 5), (9, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, doc long")
+    found = suffix_dedup.suffix_dedup(df) if extend is None else chunk_dedup.chunk_dedup(df, extend=extend)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in found.collect())
+    assert got == Counter([(7, 479, 0), (7, 479, 0), (7, 479, 479), (None, 479, 479), (None, 0, 0), (2, 479, 0), (3, 5, 0), (3, 5, 0), (9, 0, 0)])
+
+
+def test_suffix_blocks_of_long_texts(monkeypatch):
+    """Pieces of a long text have every string once, and equal strings the same gram."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh") for _ in range(5000))
+    texts = ["x" * 300, text, "short", None, text[:2600], text[700:800]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc", "text"])
+    monkeypatch.setattr(shared, "SLICE_BYTES", 500)
+    seen = {}
+    for piece in (1 << 20, 1000, 777):
+        monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", piece)
+        strings = Counter()
+        for out in suffix_dedup._blocks(iter([batch])):
+            for gram, _, doc, at in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                start, count, anchor = at >> 14, (at >> 7) & 127, at & 127
+                for j in range(start, start + count):
+                    strings[doc, j] += 1
+                    assert seen.setdefault(texts[doc][j : j + 100], gram) == gram
+                assert anchor <= 76
+        assert strings == Counter((d, j) for d, x in enumerate(texts) for j in range(len(x or "") - 99))
+
+
+def test_runs_of_crowded_strings(monkeypatch):
+    """Small runs, cut anywhere and merged: every string but the first of its kind is found."""
+    rng = random.Random(5)
+    monkeypatch.setattr(suffix_dedup, "RUN_STRINGS", 150)
+    base = "".join(rng.choice("ab") for _ in range(400))
+    texts = [base[k : k + rng.randint(100, 300)] for k in (rng.randrange(250) for _ in range(30))]
+    texts = [t for t in texts if len(t) >= 100]
+    block = lambda t: [{"at": (s << 14) | (min(77, len(t) - 99 - s) << 7), "crowded": True} for s in range(0, len(t) - 99, 77)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([block(t) for t in texts])], ["doc", "text", "blocks"])
+    limits = sorted({base[k : k + 100].encode() for k in (3, 80, 200, 290)})
+    runs, spans = {}, []
+    for out in suffix_dedup._sorted_runs([], limits)(batch.slice(k, 1) for k in range(len(batch))):
+        for part, run, *span in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            if part is None:
+                spans.append(span)
+            else:
+                runs.setdefault(part, []).append(run)
+    assert len(runs) > 2 and max(map(len, runs.values())) > 3
+    for some in runs.values():
+        spans += suffix_dedup.merge_strings(some)
+    got = {(d, j) for d, a, b in spans for j in range(a, b)}
+    seen, want = set(), set()
+    for d, t in enumerate(texts):
+        for j in range(len(t) - 99):
+            if t[j : j + 100] in seen:
+                want.update((d, x) for x in range(j, j + 100))
+            seen.add(t[j : j + 100])
+    assert got == want
+
+
 def test_loser_tree_merges():
     rng = random.Random(3)
     for k in (0, 1, 2, 3, 7):
@@ -71,10 +135,10 @@ def test_chunk_dedup(docs, rows, empty):
                 else:
                     runs.append([a, b])
         for a, b in runs:
-            if b - a >= chunk_dedup.MIN_RUN:
+            if b - a >= 40:
                 gone[a:b] = b"\1" * (b - a)
         want[r[0]] = cut(text, gone)
-    assert digest(chunk_dedup.chunk_dedup(docs).collect()) == want
+    assert digest(chunk_dedup.chunk_dedup(docs, min_run=40).collect()) == want
     assert chunk_dedup.chunk_dedup(empty).count() == 0
 
 
@@ -175,11 +239,11 @@ def test_near_pairs_of_bitmaps():
         for k in range(12):
             sets.append(np.array(sorted({*base[: n - rng.randint(0, n // 5)], *(rng.getrandbits(63) for _ in range(rng.randint(0, n // 6)))}), np.uint64))
     n = np.array([len(s) for s in sets])
-    rows = (n, n, np.arange(len(sets)) % 7, [jaccard_join._bitmap(s) for s in sets])
+    rows = (n, n, np.arange(len(sets)) % 7, np.arange(len(sets)) % 5 > 0, [jaccard_join._bitmap(s) for s in sets])
     a, b, far = jaccard_join.near_pairs(rows, None)
     got = set(zip(a.tolist(), b.tolist(), strict=True))
     real = [set(s.tolist()) for s in sets]
-    links = {(i, j) for i in range(len(sets)) for j in range(i) if rows[2][i] != rows[2][j] and 5 * len(real[i] & real[j]) >= 4 * len(real[i] | real[j])}
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if rows[2][i] != rows[2][j] and (rows[3][i] or rows[3][j]) and 5 * len(real[i] & real[j]) >= 4 * len(real[i] | real[j])}
     assert {(min(x), max(x)) for x in links} <= got and links
     assert all(f <= len(real[i] ^ real[j]) for i, j, f in zip(a.tolist(), b.tolist(), far.tolist(), strict=True))
     half = len(sets) // 2
@@ -209,35 +273,78 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_vector_search(spark):
+def brute_nearest(rows, every=50, k=5):
+    """(query id, [(id, score)..]) of each query row, in plain double arithmetic."""
+    good = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, np.float64)).all() and any(v)]
+    good = [(i, v / np.abs(v).max()) for i, v in good]
+    out = []
+    for q, x in good:
+        if q % every == 0:
+            near = [(float((v * x).sum() / (np.sqrt((v * v).sum()) * np.sqrt((x * x).sum()))), i) for i, v in good if i != q and len(v) == len(x)]
+            out.append((q, sorted(((-round(s, 12), i) for s, i in near))[:k]))
+    return sorted(out)
+
+
+def answers(found):
+    """As brute_nearest() of query ids that occur once, with ranks checked."""
+    got: dict = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-round(r.score, 12), r.vec_id))
+        assert r.rank == len(got[r.query_id])
+    return got
+
+
+@pytest.mark.parametrize("shard_bytes", [vector_search.SHARD_BYTES, 16 * 8 * 200])
+def test_vector_search(spark, shard_bytes):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(30, 16))
     v = (centres[rng.integers(30, size=3000)] + 0.4 * rng.normal(size=(3000, 16))).astype(np.float32)
     v[40:400] = v[40]  # copies of one vector
     rows = [(i, [float(x) for x in a], "r") for i, a in enumerate(v)]
-    rows += [(3000, None, "r"), (3050, [0.0] * 16, "r"), (3100, [float("nan")] + [1.0] * 15, "r"), (3101, [None] + [1.0] * 15, "r"), (3102, [float("inf")] + [1.0] * 15, "r")]
+    rows += [(3000, None, "r"), (3050, [0.0] * 16, "r"), (3100, [float("nan")] + [1.0] * 15, "r"), (3101, [None] + [1.0] * 15, "r"), (3102, [float("inf")] + [1.0] * 15, "r"), (None, [1.0] * 16, "r")]
+    rows += [(3150, [1.0, 2.0], "r"), (3151, [1.0, 2.5], "r"), (3200, [1.0, 2.0, 3.0], "r")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
-    a = v.astype(np.float64)
-    norm = np.sqrt((a * a).sum(axis=1))
-    want = {}
-    for q in range(0, 3000, 50):
-        score = (a * a[q]).sum(axis=1) / (norm * norm[q])
-        want[q] = sorted(((-s, i) for i, s in enumerate(score.tolist()) if i != q))[:5]
+    want = dict(brute_nearest([r[:2] for r in rows]))
     for factor, least in ((1.0, 1.0), (vector_search.FACTOR, 0.9)):
-        got: dict = {}
-        for r in vector_search.nearest(df, factor=factor).orderBy("query_id", "rank").collect():
-            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-            assert r.rank == len(got[r.query_id])
-        assert set(got) == set(want)
-        hits = sum(len({i for i, _ in got[q]} & {i for _, i in want[q]}) for q in want)
-        assert hits >= least * 5 * len(want)
+        got = answers(vector_search.nearest(df, factor=factor, shard_bytes=shard_bytes))
+        assert set(got) == {q for q in want if want[q]}
+        hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in got)
+        assert hits >= least * sum(len(want[q]) for q in got)
         if factor == 1.0:
-            assert all([i for i, _ in got[q]] == [i for _, i in want[q]] and np.allclose([s for _, s in got[q]], [-s for s, _ in want[q]], atol=1e-15) for q in want)
+            assert all(got[q] == want[q] for q in got)
     few = vector_search.nearest(df.where("vec_id IN (0, 1, 2)")).collect()
     assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 1), (0, 2)]
     assert vector_search.nearest(df.limit(0)).count() == 0
 
 
+def test_vector_search_of_extremes_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 8))
+    rows = [(i, [float(x) for x in a * 10.0 ** (300 if i % 3 else -300)]) for i, a in enumerate(base)]
+    rows += [(100, [1e200] * 8), (101, [1e-320] * 8), (102, [2e200] * 8), (50, rows[7][1]), (50, rows[8][1]), (50, rows[8][1]), (7, rows[20][1])]
+    got: dict = {}
+    for r in vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), factor=1.0, shard_bytes=600).collect():
+        got.setdefault(r.query_id, []).append((-round(r.score, 12), r.vec_id))
+    want: dict = {}
+    for q, near in brute_nearest(rows):
+        want.setdefault(q, []).extend(near)
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+    assert len(want[50]) == 15 and {i for _, i in want[100]} >= {101, 102}
+
+
+def test_router_reaches_every_neighbour():
+    rng = np.random.default_rng(5)
+    rows = vector_search.unit(rng.normal(size=(900, 6)))
+    router = vector_search.Router(np.unique(rows[:300], axis=0), 20)
+    home = [x[0] for x in router.visited(rows)]
+    assert router.leaves == 20 and set(home) == set(range(20))
+    reach = router.visited(rows[:50], np.full(50, 0.3 + 1e-7))
+    for q in range(50):
+        near = np.flatnonzero(np.sqrt(np.maximum(0, 2 - 2 * rows @ rows[q])) <= 0.3)
+        assert {home[i] for i in near} <= set(reach[q])
+    assert sum(map(len, reach)) < 50 * 20
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     import corpus_pipeline
 

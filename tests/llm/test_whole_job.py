@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -12,7 +13,7 @@ import xxhash
 from test_corpus_operators import brute_components, sets_of
 from test_text_operators import brute_quality, brute_targets
 
-from plumbline.llm import bpe, chunk_dedup, language_id, quality, queries, secret_scan
+from plumbline.llm import bpe, chunk_dedup, language_id, mixing, quality, queries, secret_scan
 
 
 def words(rng, n, longest):
@@ -124,13 +125,20 @@ def test_repeated_bytes():
         assert list(zip(*(x.tolist() for x in quality.repeated_bytes(texts, least)), strict=True)) == want
 
 
-def test_op6_refuses_more_languages_than_it_can_hold(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
-    rows = [(k, text, lang) for k, (text, lang) in enumerate([("abc abd", "x"), ("klm kln", "y"), ("rst rsu", "z")] * 9)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert {r.lang_pred for r in language_id.identify(df.where("lang <> 'z'")).collect()} == {"x", "y"}
-    with pytest.raises(ValueError, match="languages"):
-        language_id.identify(df).collect()
+def test_op6_leaves_out_no_language(spark, monkeypatch):
+    """More languages than the sample was meant for: each has fewer rows."""
+    monkeypatch.setattr(language_id, "ALL_ROWS", 60)
+    letters = [chr(0x0E01 + 3 * k) + chr(0x0E02 + 3 * k) for k in range(24)]
+    rows = [(k, " ".join([letters[k % 24], letters[k % 24][::-1]] * 3), f"l{k % 24}") for k in range(24 * 12)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k].lang_pred == lang for k, _, lang in rows)
+
+
+def test_op6_without_ids_and_with_repeats(spark):
+    rows = [(k, f"abc abd {k}", "x") for k in range(12)] + [(k, f"klm kln {k}", "y") for k in range(12)] + [(None, "klm kln", "x"), (None, None, "y"), (3, "abc", None)] + [(4, "klm", "y")] * 2
+    got = Counter((r.doc_id, r.held_out, r.lang_pred) for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    assert got == Counter((i, held(i), "und" if not t else "x" if "a" in t else "y") for i, t, _ in rows)
 
 
 def brute_kept(text):
@@ -163,7 +171,7 @@ def brute_mix(docs):
         sizes[source] += size[i]
     target, uses = brute_targets(sizes), {}
     draw = {i: xxhash.xxh64_intdigest(struct.pack("<i", 17), xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) for i in docs}
-    buckets = max(16, -(-len(docs) // 4096))
+    buckets = max(16, -(-len(docs) // mixing.BUCKET_ROWS))
     order = lambda i: ((draw[i] >> 1) % buckets, draw[i] - (draw[i] >> 63 << 64), i)
     for source in sizes:
         full, before = int(target[source] // sizes[source]), 0
