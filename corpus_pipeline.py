@@ -1,7 +1,14 @@
 """A training corpus from raw documents: quality, near duplicates, secrets, mix, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the
-shared folder and reads it again as the next one's docs. All but the last return the columns of docs.
+shared folder and reads it again as the next one's docs. All but the last return the columns of docs,
+whatever columns there are beside doc_id, text and source.
+
+In every stage, each row is judged by its own text. A null or empty text has no words, so the quality
+rules drop it; in later stages it is linked with nothing, has no secrets, isn't taken by the mix and
+has no tokens. A null id counts like any other, but comes last where the smallest id stays. Repeated
+rows and rows that share an id are documents of their own; of copies one stays. A null source is a
+source of its own. Texts of any length are read whole. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -10,30 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import jaccard_join, mixing, quality, queries, secret_scan
-from plumbline.llm.shared import materialise
+from plumbline.llm.shared import materialise, unused
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
-    return quality.with_quality(docs, out="_quality").where("_quality.kept").select(*docs.columns)
+    out = unused(docs, "quality")
+    return quality.with_quality(docs, out=out).where(F.col(out)["kept"]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; ids are unique."""
-    found = jaccard_join.jaccard_join(docs)
-    copies = materialise(found.where("component_id <> doc_id").select("doc_id"), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: that with the smallest id."""
+    return jaccard_join.one_of_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets (private keys always) replaced by their kind in brackets; n_chars follows the text."""
-    found = secret_scan.find_secrets(docs, always=("key",)).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias("_spans"))
-    found = materialise(found, "spans")
-    new = F.when(F.col("_spans").isNotNull(), secret_scan.redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    joined = docs.join(found, "doc_id", "left").withColumn("text", new)
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+    return secret_scan.without_secrets(docs, length_col="n_chars" if "n_chars" in docs.columns else None, always=("key",))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
