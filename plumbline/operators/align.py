@@ -1,9 +1,10 @@
 """Time joins between sensors.
 
 Nearest and bracketing joins are one union and windows over it: linear after a sort, where a
-comparison join would be quadratic. With a tolerance they can be cut into time buckets (the other
-side copied into the buckets it can reach), so one long sequence is many tasks. The greedy
-one-to-one join is cut where no pair can reach across, and only then goes through grouped pandas.
+comparison join would be quadratic. The windows run within buckets of time, so one long sequence is
+many tasks; what a bucket needs from beyond its ends are the last and first rows of other buckets, one
+pair per bucket, which a window over the buckets brings in. The greedy one-to-one join is cut where
+no pair can reach across, and only then goes through grouped pandas.
 """
 
 from __future__ import annotations
@@ -17,35 +18,41 @@ from plumbline.functions import geometry as g
 from plumbline.session import ship
 
 
-def _bucketed(df: DataFrame, t: str, bucket: float | None, reach: float) -> DataFrame:
-    if bucket is None:
-        return df.withColumn("_bucket", F.lit(0).cast("bigint"))
-    low, high = F.floor((F.col(t) - reach) / bucket), F.floor((F.col(t) + reach) / bucket)
-    return df.withColumn("_bucket", F.explode(F.sequence(low, high)) if reach else low)
+#: Length of a time bucket; results don't depend on it.
+BUCKET = 3600.0
 
 
-def _sides(left: DataFrame, right: DataFrame, by: list[str], t: str, order: str, bucket: float | None, reach: float) -> DataFrame:
+def _sides(left: DataFrame, right: DataFrame, by: list[str], t: str, order: str, bucket: float) -> DataFrame:
     """Rows of both sides: by, _bucket, t, _order, l (struct, left rows), r (struct, right rows)."""
     one, two = F.struct(*left.columns), F.struct(*right.columns)
-    a = _bucketed(left.select(*by, t, F.col(order).alias("_order"), one.alias("l"), F.lit(None).cast(right.select(two.alias("r")).schema["r"].dataType).alias("r")), t, bucket, 0)
-    b = _bucketed(right.select(*by, t, F.col(order).alias("_order"), F.lit(None).cast(left.select(one.alias("l")).schema["l"].dataType).alias("l"), two.alias("r")), t, bucket, reach)
-    return a.unionByName(b)
+    a = left.select(*by, t, F.col(order).alias("_order"), one.alias("l"), F.lit(None).cast(right.select(two.alias("r")).schema["r"].dataType).alias("r"))
+    b = right.select(*by, t, F.col(order).alias("_order"), F.lit(None).cast(left.select(one.alias("l")).schema["l"].dataType).alias("l"), two.alias("r"))
+    return a.unionByName(b).withColumn("_bucket", F.floor(F.col(t) / bucket))
 
 
-def nearest(left: DataFrame, right: DataFrame, by: list[str], t: str, order: str, tolerance: float | None = None, inclusive: bool = False, bucket: float | None = None) -> DataFrame:
+def _beyond(both: DataFrame, by: list[str], t: str, smallest_of_ties: bool) -> DataFrame:
+    """by, _bucket, _before (last right row of earlier buckets), _after (first of later ones); of rows at one time the last is that with the largest order, or the smallest."""
+    is_right = F.col("r").isNotNull()
+    up = F.when(is_right, F.struct(t, "_order"))
+    last = F.min_by("r", F.when(is_right, F.struct((-F.col(t)).alias("t"), "_order"))) if smallest_of_ties else F.max_by("r", up)
+    ends = both.groupBy(*by, "_bucket").agg(last.alias("_last"), F.min_by("r", up).alias("_first"))
+    along = W.partitionBy(*by).orderBy("_bucket")
+    return ends.select(*by, "_bucket", F.last("_last", True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
+
+
+def nearest(left: DataFrame, right: DataFrame, by: list[str], t: str, order: str, tolerance: float | None = None, inclusive: bool = False, bucket: float = BUCKET) -> DataFrame:
     """Each left row (struct l) with the right row nearest in time (struct r, null if none is within tolerance) and dt.
 
-    Ties go to the earlier right row, then to the smaller ``order``. ``bucket`` needs a tolerance.
+    Ties go to the earlier right row, then to the smaller ``order``.
     """
-    if bucket is not None and tolerance is None:
-        raise ValueError("buckets need a tolerance")
-    both = _sides(left, right, by, t, order, bucket, tolerance or 0.0)
+    both = _sides(left, right, by, t, order, bucket)
     part = W.partitionBy(*by, "_bucket")
     is_left = F.col("l").isNotNull()
     before = part.orderBy(t, is_left, F.desc("_order")).rowsBetween(W.unboundedPreceding, W.currentRow)
     # from here on: right rows at the same time are before this one already
     after = part.orderBy(t, is_left, "_order").rowsBetween(W.currentRow, W.unboundedFollowing)
     seen = both.withColumn("_p", F.last("r", True).over(before)).withColumn("_n", F.first("r", True).over(after)).where(is_left)
+    seen = seen.join(_beyond(both, by, t, True), [*by, "_bucket"]).withColumn("_p", F.coalesce("_p", "_before")).withColumn("_n", F.coalesce("_n", "_after"))
     back, ahead = F.col(t) - F.col("_p")[t], F.col("_n")[t] - F.col(t)
     use_back = F.col("_n").isNull() | (F.col("_p").isNotNull() & (back <= ahead))
     picked = seen.withColumn("_r", F.when(use_back, F.col("_p")).otherwise(F.col("_n"))).withColumn("_dt", F.abs(F.col("_r")[t] - F.col(t)))
@@ -64,29 +71,24 @@ def nearest_by_median(left: DataFrame, right: DataFrame, by: list[str], t: str,
     return found.join(limits, by).select("l", F.when(near, F.col("r")).alias("r"), F.when(near, F.col("dt")).alias("dt"))
 
 
-def bracket(left: DataFrame, right: DataFrame, by: list[str], t: str, order: str, max_dt: float, bucket: float | None = None) -> DataFrame:
+def bracket(left: DataFrame, right: DataFrame, by: list[str], t: str, order: str, max_dt: float, bucket: float = BUCKET) -> DataFrame:
     """Each left row (l) with the right rows around it (a before, b at or after) and the fraction u between them.
 
     A gap of more than twice max_dt gives neither. Before the first and after the last right row, that
     row is both a and b (u = 0) if it is within max_dt.
     """
-    both = _sides(left, right, by, t, order, bucket, 2 * max_dt)
+    both = _sides(left, right, by, t, order, bucket)
     part = W.partitionBy(*by, "_bucket")
     is_right = F.col("r").isNotNull()
     order_by = part.orderBy(t, is_right, "_order")  # left rows first: a right row at the same time comes after
     seen = both.withColumn("_a", F.last("r", True).over(order_by.rowsBetween(W.unboundedPreceding, -1))).withColumn("_b", F.first("r", True).over(order_by.rowsBetween(1, W.unboundedFollowing)))
-    seen = seen.where(F.col("l").isNotNull())
-    a, b = F.col("_a"), F.col("_b")
+    seen = seen.where(F.col("l").isNotNull()).join(_beyond(both, by, t, False), [*by, "_bucket"])
+    a, b = F.coalesce("_a", "_before"), F.coalesce("_b", "_after")
     inside = a.isNotNull() & b.isNotNull()
     edge = F.coalesce(a, b)
     near_edge = ~inside & (F.abs(edge[t] - F.col(t)) <= max_dt)
-    # the bucket of a left row has every right row that it may use, but not proof of the ends
     bridged = inside & (b[t] - a[t] <= 2 * max_dt)
     span = b[t] - a[t]
-    if bucket is not None:
-        near_edge = near_edge & F.col("_edge")
-        ends = right.groupBy(*by).agg(F.min(t).alias("_first"), F.max(t).alias("_last"))
-        seen = seen.join(ends, by, "left").withColumn("_edge", (F.col(t) <= F.col("_first")) | (F.col(t) > F.col("_last")))
     return seen.select(
         "l",
         F.when(bridged, a).when(near_edge, edge).alias("a"),

@@ -18,7 +18,7 @@ def stamps(spark, rng, n, grid=None):
 
 @pytest.mark.parametrize("grid", [None, 60])
 @pytest.mark.parametrize("inclusive", [False, True])
-@pytest.mark.parametrize("bucket", [None, 0.5])
+@pytest.mark.parametrize("bucket", [3600.0, 0.5])
 def test_nearest(spark, grid, inclusive, bucket):
     rng = random.Random(5)
     (left, a), (right, b) = stamps(spark, rng, 200, grid), stamps(spark, rng, 90, grid)
@@ -32,7 +32,7 @@ def test_nearest(spark, grid, inclusive, bucket):
 def test_bracket(spark):
     rng = random.Random(6)
     (left, a), (right, b) = stamps(spark, rng, 200, 500), stamps(spark, rng, 60, 500)
-    for bucket in (None, 2.0):
+    for bucket in (3600.0, 2.0, 0.7):
         got = {r.l.i: (r.u, r.a and r.a.t, r.b and r.b.t) for r in align.bracket(a, b, ["k"], "t", "i", 1.0, bucket).collect()}
         for k, i, t in left:
             times = np.sort([u for q, _, u in right if q == k])
@@ -73,13 +73,13 @@ def test_shards(spark, seed, count):
     assert {corpus.worker_shard(r, 2, w, 3) for r in range(2) for w in range(3)} == {(k, 6) for k in range(6)}
 
 
-def test_locate_both_ways(spark, monkeypatch):
+def test_locate(spark, monkeypatch):
     sizes = [3, 0, 5, 2]
     members = spark.createDataFrame(list(enumerate(sizes)), "mi bigint, frames bigint")
     wanted = spark.createDataFrame([(k,) for k in range(-11, 12)], "index bigint")
     flat = [(m, f) for m, n in enumerate(sizes) for f in range(n)]
-    for limit in (1000, 0):
-        monkeypatch.setattr(corpus, "BROADCAST_MEMBERS", limit)
+    for size in (1000, 4, 1):
+        monkeypatch.setattr(corpus, "INDEX_RANGE", size)
         got = {r["index"]: (r.member, r.frame) for r in corpus.locate(wanted, members).collect()}
         assert got == {k: flat[k] for k in range(-10, 10)}
 
