@@ -6,7 +6,10 @@ default), so files of other writers of the format are read by giving theirs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 TAG_PREFIX = "POSED"
@@ -17,6 +20,7 @@ IDS = {
     0x1F43B675: "Cluster", 0xE7: "Timestamp", 0xA3: "SimpleBlock", 0xA0: "BlockGroup", 0xEC: "Void", 0x1C53BB6B: "Cues", 0xBB: "CuePoint", 0xB3: "CueTime",
     0xB7: "CueTrackPositions", 0xF7: "CueTrack", 0xF1: "CueClusterPosition", 0x114D9B74: "SeekHead", 0x4DBB: "Seek", 0x53AB: "SeekID", 0x53AC: "SeekPosition",
     0x1549A966: "Info", 0x1654AE6B: "Tracks", 0x2AD7B1: "TimestampScale", 0x4489: "Duration",
+    0x4286: "EBMLVersion", 0x42F7: "EBMLReadVersion", 0x42F2: "EBMLMaxIDLength", 0x42F3: "EBMLMaxSizeLength", 0x4282: "DocType", 0x4287: "DocTypeVersion", 0x4285: "DocTypeReadVersion",
 }
 NAMES = {v: k for k, v in IDS.items()}
 MASTERS = {"Segment", "Tags", "Tag", "SimpleTag", "Cues", "CuePoint", "CueTrackPositions", "SeekHead", "Seek", "Cluster", "BlockGroup"}
@@ -187,6 +191,158 @@ def clusters(data: bytes) -> list[tuple[int, int, int, bool]]:
     return out
 
 
+# --- reading parts of a file ---
+
+#: Bytes of the first read of a file.
+PROBE = 8192
+Fetch = Callable[[int, int], bytes]
+
+
+def file_fetch(path: str) -> Fetch:
+    """Reads ranges of a local file; what lies past its end is left out."""
+
+    def fetch(at: int, n: int) -> bytes:
+        with open(path, "rb") as f:
+            f.seek(at)
+            return f.read(n)
+
+    return fetch
+
+
+def http_fetch(url: str, timeout: float = 30.0) -> Fetch:
+    """Reads ranges of a remote file by range requests."""
+
+    def fetch(at: int, n: int) -> bytes:
+        request = urllib.request.Request(url, headers={"Range": f"bytes={at}-{at + n - 1}"})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as reply:
+                whole = reply.read(n if reply.status == 206 else at + n)
+                return whole if reply.status == 206 else whole[at:]
+        except urllib.error.HTTPError as e:
+            if e.code == 416:
+                return b""
+            raise
+
+    return fetch
+
+
+def fetcher(uri: str) -> Fetch:
+    return http_fetch(uri) if uri.startswith(("http://", "https://")) else file_fetch(uri.removeprefix("file://"))
+
+
+def file_size(uri: str) -> int | None:
+    """Bytes of a file; of a remote one, if its server tells."""
+    if not uri.startswith(("http://", "https://")):
+        return os.path.getsize(uri.removeprefix("file://"))
+    with urllib.request.urlopen(urllib.request.Request(uri, method="HEAD"), timeout=30.0) as reply:
+        length = reply.headers.get("Content-Length")
+    return int(length) if length else None
+
+
+class Ranges:
+    """A file read in ranges: what has been read is kept, and how much that was is counted."""
+
+    def __init__(self, fetch: Fetch, probe: int = PROBE):
+        self.fetch, self.probe, self.held, self.base, self.fetched = fetch, probe, b"", 0, 0
+
+    def read(self, at: int, n: int, ahead: int = 0) -> bytes:
+        """n bytes from at on, fewer at the end of the file; ahead more are read with them."""
+        if not (self.base <= at and at + n <= self.base + len(self.held)):
+            self.held, self.base = self.fetch(at, max(n, ahead)), at
+            self.fetched += len(self.held)
+        return self.held[at - self.base : at - self.base + n]
+
+
+@dataclass
+class Skimmed:
+    """What a file holds beside its pictures."""
+
+    #: The file without its clusters: for simple_tags() and the like.
+    metadata: bytes
+    #: (start, payload, end) of each cluster that was passed; end -1 if it has no size.
+    clusters: list[tuple[int, int, int]]
+    #: Where the segment's payload begins, and the bytes before the first cluster.
+    payload: int
+    extent: int
+    fetched: int
+    cues: list[tuple[int, int]]
+
+
+def skim(fetch: Fetch, header_only: bool = False) -> Skimmed:
+    """Reads a file without its clusters' payloads; header_only: only up to the first cluster, and what the index names."""
+    file = Ranges(fetch)
+    file.read(0, PROBE)
+    kept, found, at, payload, end, extent = [], [], 0, None, None, None
+    while end is None or at < end:
+        head = file.read(at, 12, 256)
+        if not head:
+            break
+        try:
+            kind, p, _ = vint(head, 0, keep_marker=True)
+            size, p, unknown = vint(head, p)
+        except FormatError:
+            if len(head) < 12:
+                break  # a head that the file's end cuts off
+            raise
+        name = IDS.get(kind)
+        if name == "Segment":
+            payload, at = at + p, at + p
+            end = None if unknown else payload + size
+        elif payload is None:
+            at += p + size
+        elif name == "Cluster":
+            extent = at if extent is None else extent
+            found.append((at, at + p, -1 if unknown else at + p + size))
+            if header_only:
+                break
+            at += p if unknown else p + size
+        elif unknown:
+            raise FormatError(f"element at {at} has no size")
+        else:
+            if name not in ("Void", None, "SimpleBlock", "BlockGroup", "Timestamp"):
+                body = file.read(at, p + size)
+                if len(body) < p + size:
+                    break
+                kept.append(body)
+            at += p + size
+    if payload is None:
+        raise FormatError("no segment")
+    own = encode("EBML", b"") + encode("Segment", b"".join(kept))
+    points = cues(own)
+    if header_only:
+        shift = payload - segment(own).payload
+        heads = {n: [x + shift for x in where] for n, where in seek_head(own).items()}
+        for name in ("Cues", "Tags"):
+            for where in heads.get(name, []):
+                if extent is not None and where > extent:
+                    head = file.read(where, 12, 256)
+                    if len(head) == 12 and IDS.get(vint(head, 0, keep_marker=True)[0]) == name:
+                        size, p, _ = vint(head, vint(head, 0)[1])
+                        kept.append(file.read(where, p + size))
+        own = encode("EBML", b"") + encode("Segment", b"".join(kept))
+        points = cues(own)
+    inner = segment(own).payload
+    return Skimmed(own, found, payload, at if extent is None else extent, file.fetched, [(t, where - inner + payload) for t, where in points])
+
+
+def cluster_blocks(fetch: Fetch, start: int, end: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(track, offset of the frame's bytes, their number, whether a key frame) of a cluster's simple blocks, from heads alone."""
+    file, at = Ranges(fetch), start
+    while end < 0 or at < end:
+        head = file.read(at, 24, 64)
+        if len(head) < 2:
+            return
+        kind, p, _ = vint(head, 0, keep_marker=True)
+        size, p, _ = vint(head, p)
+        name = IDS.get(kind)
+        if end < 0 and name in ("Cluster", "Tags", "Cues"):
+            return
+        if name == "SimpleBlock":
+            track, q, _ = vint(head, p)
+            yield track, at + q + 3, p + size - q - 3, bool(head[q + 2] & 0x80)
+        at += p + size
+
+
 # --- writing ---
 
 
@@ -212,14 +368,25 @@ def encode_tags(tags: dict[str, str | bytes]) -> bytes:
     return encode("Tags", body)
 
 
-def encode_file(header: list[bytes], clusters_: list[bytes], tail: list[bytes] = (), seekable: bool = True) -> bytes:
-    """A file: an index of where header elements, the first cluster and the cues are, then these."""
-    head = encode("EBML", b"")
+def encode_head() -> bytes:
+    """What a file begins with."""
+    fields = (("EBMLVersion", 1), ("EBMLReadVersion", 1), ("EBMLMaxIDLength", 4), ("EBMLMaxSizeLength", 8), ("DocTypeVersion", 4), ("DocTypeReadVersion", 2))
+    return encode("EBML", b"".join(encode(n, encode_uint(v)) for n, v in fields) + encode("DocType", b"webm"))
+
+
+def cluster_time(cluster: bytes) -> int:
+    """Time stamp of an encoded cluster; 0 if it has none."""
+    return next((uint(cluster, e) for e in children(cluster, element_at(cluster, 0, len(cluster))) if e.name == "Timestamp"), 0)
+
+
+def encode_file(header: list[bytes], clusters_: list[bytes], tail: list[bytes] = (), seekable: bool = True, head: bytes | None = None) -> bytes:
+    """A file: its head, an index of where header elements, the first cluster and the cues are, then these."""
+    head = encode_head() if head is None else head
 
     def cue_list(at: int) -> bytes:
         points, body = [], at
-        for i, c in enumerate(clusters_):
-            points.append(encode("CuePoint", encode("CueTime", encode_uint(i)) + encode("CueTrackPositions", encode("CueTrack", b"\1") + encode("CueClusterPosition", encode_uint(body, 8)))))
+        for c in clusters_:
+            points.append(encode("CuePoint", encode("CueTime", encode_uint(cluster_time(c))) + encode("CueTrackPositions", encode("CueTrack", b"\1") + encode("CueClusterPosition", encode_uint(body, 8)))))
             body += len(c)
         return encode("Cues", b"".join(points))
 
@@ -240,8 +407,9 @@ def encode_file(header: list[bytes], clusters_: list[bytes], tail: list[bytes] =
 
 
 def with_tags(data: bytes, tags: dict[str, str | bytes], prefix: str = TAG_PREFIX) -> bytes:
-    """The file with its own tags replaced: before the first cluster, foreign tags kept, padding dropped, index and cues rebuilt."""
+    """The file with its own tags replaced: before the first cluster, foreign tags kept, padding dropped, index and cues rebuilt; what stands before the segment stays as it is."""
     header, body, tail = [], [], []
+    before = data[: segment(data).start]
     for _, e in walk(data):
         raw = data[e.start : e.end]
         if e.name in ("SeekHead", "Void", "Cues"):
@@ -254,4 +422,4 @@ def with_tags(data: bytes, tags: dict[str, str | bytes], prefix: str = TAG_PREFI
                 (tail if body else header).append(encode_tags(foreign))
         else:
             (tail if body else header).append(raw)
-    return encode_file([*header, encode_tags(tags)], body, tail)
+    return encode_file([*header, encode_tags(tags)], body, tail, head=before)

@@ -30,6 +30,17 @@ def poses_vtt(frames: DataFrame) -> DataFrame:
     return posed.select("seq_id", "i", text.vtt_time(start).alias("start"), text.vtt_time(stop).alias("stop"), body.alias("body"))
 
 
+def imu_csv(imu: DataFrame) -> DataFrame:
+    """seq_id, i (number of the sample), line: samples in order of stream and time."""
+    number = F.row_number().over(W.partitionBy("seq_id").orderBy("imu_id", "t")) - 1
+    return imu.select("seq_id", number.alias("i"), F.concat_ws(",", "imu_id", *[F.col(c).cast("string") for c in ("t", "gx", "gy", "gz", "ax", "ay", "az")]).alias("line"))
+
+
+def refuse_hdr(streams: DataFrame) -> DataFrame:
+    """The streams, of which none may be HDR: these exports hold 8 bits."""
+    return streams.where(F.when(F.col("hdr"), F.raise_error(F.concat(F.lit("HDR stream "), "id", F.lit(" can't be exported at 8 bits"))).cast("boolean")).otherwise(True))
+
+
 def tum_trajectory(frames: DataFrame) -> DataFrame:
     """Posed frames, scalar-last, six decimals."""
     return frames.where("pose_valid").select("seq_id", "i", F.format_string("%.6f %.6f %.6f %.6f %.6f %.6f %.6f %.6f", "t", *_all("tr", 3), *g.xyzw_from_wxyz(_all("q_wxyz", 4))).alias("line"))

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import os
+import struct
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from plumbline.functions import geometry as g
 from plumbline.functions import text
+from plumbline.session import ship
 
-#: Names that tell a layout, in order of precedence.
-LAYOUTS = ("transforms.json", ".r3d", "tum", "transforms_train.json", "stray", "polycam", "euroc", "colmap")
+#: Numbers of camera models in binary files, and how many parameters each has.
+_BINARY_MODELS = {0: ("SIMPLE_PINHOLE", 3), 1: ("PINHOLE", 4), 2: ("SIMPLE_RADIAL", 4), 3: ("RADIAL", 5), 4: ("OPENCV", 8), 5: ("OPENCV_FISHEYE", 8)}
 
 
 def detect(path: str) -> str | None:
-    """Layout of a file or folder, by the files that it must have."""
+    """Layout of a file or folder, by the files that it must have, in order of precedence."""
     has = lambda *names: all(os.path.exists(os.path.join(path, n)) for n in names)
     if os.path.basename(path) == "transforms.json":
         return "transforms"
@@ -107,6 +111,48 @@ def colmap_images(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("i", F.row_number().over(W.orderBy("name")) - 1)
 
 
+def binary_cameras(raw: bytes) -> Iterator[tuple]:
+    """(camera, model, width, height, params) of a binary camera list."""
+    (n,), at = struct.unpack_from("<Q", raw), 8
+    for _ in range(n):
+        camera, model, width, height = struct.unpack_from("<iiQQ", raw, at)
+        if model not in _BINARY_MODELS:
+            raise ValueError(f"unknown camera model {model}")
+        name, count = _BINARY_MODELS[model]
+        yield str(camera), name, width, height, list(struct.unpack_from(f"<{count}d", raw, at + 24))
+        at += 24 + 8 * count
+
+
+def binary_images(raw: bytes) -> Iterator[tuple]:
+    """(image_id, camera, name, rotation wxyz, place) of a binary image list, world to camera."""
+    (n,), at = struct.unpack_from("<Q", raw), 8
+    for _ in range(n):
+        image, *pose, camera = struct.unpack_from("<i7di", raw, at)
+        end = raw.index(b"\0", at + 64)
+        (points,) = struct.unpack_from("<Q", raw, end + 1)
+        yield str(image), str(camera), raw[at + 64 : end].decode(), list(pose[:4]), list(pose[4:])
+        at = end + 9 + 24 * points
+
+
+def _binary(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
+    ship(spark)
+    whole = spark.read.format("binaryFile").load(path).select("content")
+    return whole.mapInPandas(lambda parts: (pd.DataFrame(list(rows(bytes(c))), columns=[x.split()[0] for x in schema.split(", ")]) for p in parts for c in p["content"]), schema)
+
+
+def colmap_binary_cameras(spark: SparkSession, path: str) -> DataFrame:
+    return _binary(spark, path, binary_cameras, "camera string, model string, width int, height int, params array<double>")
+
+
+def colmap_binary_images(spark: SparkSession, path: str) -> DataFrame:
+    """Rows by name, poses turned to camera-to-world, as colmap_images()."""
+    rows = _binary(spark, path, binary_images, "image_id string, camera string, name string, q array<double>, p array<double>")
+    m, tr = g.inverse(g.pose(g.elements(F.col("q"), 4), g.elements(F.col("p"), 3)))
+    posed = rows.select("image_id", "camera", "name", F.array(*m).alias("m"), F.array(*tr).alias("tr"))
+    out = posed.select("image_id", "camera", "name", F.array(*g.matrix_to_quat(g.elements(F.col("m"), 9))).alias("q_wxyz"), "tr")
+    return out.withColumn("i", F.row_number().over(W.orderBy("name")) - 1)
+
+
 def transforms(spark: SparkSession, path: str, fps: float = 30.0) -> tuple[DataFrame, DataFrame]:
     """(cameras, frames) of a transforms file: frames by path, axes flipped, equal calibrations joined."""
     intr = "fl_x double, fl_y double, cx double, cy double, w double, h double, k1 double, k2 double, p1 double, p2 double"
@@ -129,10 +175,12 @@ def transforms(spark: SparkSession, path: str, fps: float = 30.0) -> tuple[DataF
 
 
 def stray_odometry(spark: SparkSession, path: str) -> DataFrame:
-    """i, t, q_wxyz, tr of an odometry table with a header."""
+    """i, t, q_wxyz, tr of an odometry table with a header; axes flipped."""
     rows = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True)
     number = lambda c: F.col(c).cast("double")
-    return rows.select(number("frame").cast("bigint").alias("i"), number("timestamp").alias("t"), F.array(*[number(c) for c in ("qw", "qx", "qy", "qz")]).alias("q_wxyz"), F.array(*[number(c) for c in ("x", "y", "z")]).alias("tr"))
+    m = g.flip_gl_cv(g.quat_to_matrix([number(c) for c in ("qw", "qx", "qy", "qz")]))
+    turned = rows.select(number("frame").cast("bigint").alias("i"), number("timestamp").alias("t"), F.array(*m).alias("m"), F.array(*[number(c) for c in ("x", "y", "z")]).alias("tr"))
+    return turned.select("i", "t", F.array(*g.matrix_to_quat(g.elements(F.col("m"), 9))).alias("q_wxyz"), "tr")
 
 
 def polycam_cameras(spark: SparkSession, folder: str) -> DataFrame:

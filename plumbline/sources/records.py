@@ -13,6 +13,7 @@ FRAME = np.dtype([("i", "<u4"), ("camera", "<u4"), ("t", "<f8"), ("q", "<f4", 4)
 IMU = np.dtype([("t", "<f8"), ("gyro", "<f4", 3), ("accel", "<f4", 3)])
 VERSION = "1.3"
 BINARY_ABOVE = 10_000
+#: The conventions that a document states.
 CONVENTIONS = {"camera_axes": "RDF", "pose_direction": "camera_to_world", "quaternion_order": "wxyz", "units": "meters", "timestamp_units": "seconds"}
 
 
@@ -84,7 +85,7 @@ def resolve_frames(document: dict, tags: dict[str, str | bytes], prefix: str) ->
 
 
 def parse_file(data: bytes, prefix: str = ebml.TAG_PREFIX) -> dict:
-    """document (None for plain video), frames, imu by stream, tags, clusters."""
+    """document (None for plain video), frames, imu by stream, tags, clusters; data may lack its clusters."""
     tags = ebml.all_tags(data)
     raw = tags.get(prefix)
     found = {"document": None, "frames": [], "imu": {}, "tags": tags, "clusters": ebml.clusters(data)}
@@ -122,7 +123,7 @@ def build_file(capture: dict, prefix: str = ebml.TAG_PREFIX, form: str = "auto",
     document = {
         "format": capture.get("format", "posed-video"), "version": VERSION, "conventions": CONVENTIONS, "cameras": capture.get("cameras") or {},
         "frames": [] if live or form == "binary" else [{k: v for k, v in json_frame(f).items() if v is not None} for f in frames],
-        "signals": capture.get("signals") or [], "world": capture.get("world") or {}, "rigs": capture.get("rigs") or {},
+        "signals": capture.get("signals") or [], "world": capture.get("world") or {}, "rgb_streams": capture.get("rgb_streams") or [], "rigs": capture.get("rigs") or {},
         "imu": {k: {**{x: y for x, y in v.items() if x != "samples"}, "count": len(v.get("samples") or [])} for k, v in imu.items()},
     }
     tags: dict[str, str | bytes] = {}
@@ -139,7 +140,7 @@ def build_file(capture: dict, prefix: str = ebml.TAG_PREFIX, form: str = "auto",
         mine = {f"{prefix}_POSES": pack_frames(frames[k : k + chunk], cameras)}
         parts += [ebml.encode_tags(mine | (samples if k == 0 else {})), encode_cluster(k, video[k] if k < len(video) else b"")]
     table = ebml.encode_tags({f"{prefix}_FRAMES": pack_frames(frames, cameras)})
-    head = b"".join([ebml.encode("EBML", b""), (0x18538067).to_bytes(4, "big"), b"\x01\xff\xff\xff\xff\xff\xff\xff"])
+    head = b"".join([ebml.encode_head(), (0x18538067).to_bytes(4, "big"), b"\x01\xff\xff\xff\xff\xff\xff\xff"])
     return b"".join([head, encode_info(), ebml.encode_tags(tags), *parts, table])
 
 
