@@ -123,9 +123,33 @@ def _processor(prefix: str) -> StatefulProcessor:
     return Parse()
 
 
+def _in_order(prefix: str):
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seq, parser, n, before = None, StreamParser(prefix), 0, None
+        for part in parts:
+            out = []
+            for own, no, chunk in zip(part["seq_id"], part["chunk_no"], part["chunk"], strict=True):
+                if own != seq:
+                    seq, parser, n, before = own, StreamParser(prefix), 0, None
+                if no == before:  # repeated
+                    continue
+                before = no
+                for event, op, payload in parser.feed(bytes(chunk)):
+                    out.append((seq, n, event, op, json.dumps(payload)))
+                    n += 1
+            yield pd.DataFrame(out, columns=["seq_id", "n", "event", "op", "payload"])
+
+    return parse
+
+
 def parse_stream(chunks: DataFrame, prefix: str = ebml.TAG_PREFIX) -> DataFrame:
-    """chunks (seq_id string, chunk_no bigint, chunk binary), streaming or not, to EVENTS."""
+    """chunks (seq_id string, chunk_no bigint, chunk binary), streaming or not, to EVENTS.
+
+    A stream needs state; a table is read once, sorted by number, and only one parser is held.
+    """
     ship(chunks.sparkSession)
+    if not chunks.isStreaming:
+        return chunks.select("seq_id", "chunk_no", "chunk").repartition("seq_id").sortWithinPartitions("seq_id", "chunk_no").mapInPandas(_in_order(prefix), EVENTS)
     return chunks.groupBy("seq_id").transformWithStateInPandas(_processor(prefix), EVENTS, "Append", "None")
 
 
@@ -146,7 +170,47 @@ def join_decoded(poses: DataFrame, pictures: DataFrame, lateness: str = "10 seco
     return a.join(b, on).select("a.*", *[f"b.{c}" for c in pictures.columns if c not in poses.columns])
 
 
-def paced(frames: DataFrame, fps: float) -> DataFrame:
-    """At most one frame per period and capture: the first in each."""
-    slot = F.floor(F.col("t") * fps)
-    return frames.groupBy("seq_id", slot.alias("slot")).agg(F.min_by(F.struct(*frames.columns), "t").alias("f")).select("f.*")
+def paced(frames: DataFrame, fps: float, source_fps: float = 30.0) -> DataFrame:
+    """Frames of each capture that are far enough from the last one that was kept: a period, less a quarter of one of the source's.
+
+    One pass over frames sorted by time; only the time of the last kept frame is held.
+    """
+    ship(frames.sparkSession)
+    least = 1 / fps - 1 / source_fps / 4
+
+    def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: tuple = (None, 0.0)
+        for part in parts:
+            chosen = []
+            for seq, t in zip(part["seq_id"], part["t"], strict=True):
+                chosen.append(seq != last[0] or t - last[1] >= least)
+                if chosen[-1]:
+                    last = (seq, t)
+            yield part[chosen]
+
+    return frames.repartition("seq_id").sortWithinPartitions("seq_id", "t").mapInPandas(keep, frames.schema)
+
+
+def routed(chunks: DataFrame, prefix: str = ebml.TAG_PREFIX) -> DataFrame:
+    """What a live player does with chunks: EVENTS, and in their midst the clusters that go on to a decoder (payload: bytes, or null if not known yet)."""
+    return parse_stream(chunks, prefix).withColumn("to", F.when(F.col("event") == "cluster", "decoder").otherwise("listener"))
+
+
+def within_budget(frames: DataFrame, most: int, handling: float) -> DataFrame:
+    """Frames that a writer takes which handles ``most`` at once, each for ``handling`` seconds; others are dropped when they come."""
+    ship(frames.sparkSession)
+
+    def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, busy = None, []
+        for part in parts:
+            chosen = []
+            for seq, t in zip(part["seq_id"], part["t"], strict=True):
+                if seq != now:
+                    now, busy = seq, []
+                busy = [x for x in busy if x > t]
+                chosen.append(len(busy) < most)
+                if chosen[-1]:
+                    busy.append(t + handling)
+            yield part[chosen]
+
+    return frames.repartition("seq_id").sortWithinPartitions("seq_id", "t").mapInPandas(keep, frames.schema)
