@@ -10,8 +10,9 @@ from pyspark.sql.window import Window as W
 
 from plumbline.functions import geometry as g
 from plumbline.functions import text, values
-from plumbline.operators import align, corpus, rules
+from plumbline.operators import align, corpus, planes, rules
 from plumbline.plans.views import EVENTS_SQL, FRAMES_SQL, POSED_SQL, events, frames, posed, table
+from plumbline.sources import convert, exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,23 +101,24 @@ def slerp_pose(spark, sf):
     return p.select("seq_id", "pos", *named(q, "qw", "qx", "qy", "qz"))
 
 
-_PAIR = EVENTS_SQL + ", a AS (SELECT seq_id, us // 60000000 AS ns, min(event_id) AS i FROM ev WHERE event_type = 'view' GROUP BY ALL), b AS (SELECT seq_id, us // 60000000 AS ns, min(event_id) AS j FROM ev WHERE event_type = 'click' GROUP BY ALL)"
+_PAIR = EVENTS_SQL + ", a AS (SELECT seq_id, us // 172800000000 AS ns, min(event_id) AS i FROM ev WHERE event_type = 'view' GROUP BY ALL), b AS (SELECT seq_id, us // 172800000000 AS ns, min(event_id) AS j FROM ev WHERE event_type = 'click' GROUP BY ALL)"
 
 
 def _stereo(spark, sf, kind, name):
-    """One integer stamp per minute stands for a camera's exposures."""
+    """One integer stamp for two days stands for a camera's exposures."""
     e = _kind(events(spark, sf), kind)
-    return e.groupBy("seq_id", F.floor(F.col("us") / 60_000_000).alias("ns")).agg(F.min("event_id").alias(name))
+    return e.groupBy("seq_id", F.expr("us div 172800000000").alias("ns")).agg(F.min("event_id").alias(name))
 
 
 @query(_PAIR + " SELECT a.seq_id, a.ns, i, j FROM a JOIN b USING (seq_id, ns)")
 def ns_equi_pair(spark, sf):
-    return _stereo(spark, sf, "view", "i").join(_stereo(spark, sf, "click", "j"), ["seq_id", "ns"])
+    pairs = convert.paired(_stereo(spark, sf, "view", "name"), _stereo(spark, sf, "click", "name"))
+    return pairs.select("seq_id", "ns", F.col("name").alias("i"), F.col("other").alias("j"))
 
 
 @query(_PAIR + " SELECT seq_id, count(*) AS dropped FROM a ANTI JOIN b USING (seq_id, ns) GROUP BY 1")
 def ns_unpaired(spark, sf):
-    return _stereo(spark, sf, "view", "i").join(_stereo(spark, sf, "click", "j"), ["seq_id", "ns"], "left_anti").groupBy("seq_id").agg(F.count("*").alias("dropped"))
+    return convert.unpaired(_stereo(spark, sf, "view", "i"), _stereo(spark, sf, "click", "j").select("seq_id", "ns"))
 
 
 @query()
@@ -175,10 +177,9 @@ c AS (SELECT *, r00*dx+r10*dy+r20*dz AS cx, r01*dx+r11*dy+r21*dz AS cy, r02*dx+r
 SELECT i, round(m00*cx+m01*cy+m02*cz+x, 6)+0.0 AS x, round(m10*cx+m11*cy+m12*cz+y, 6)+0.0 AS y, round(m20*cx+m21*cy+m22*cz+z, 6)+0.0 AS z FROM c""")
 def rig_derive(spark, sf):
     """Where another camera of the rig is: frame pose, back to the rig, out to the other camera."""
-    p = posed(spark, sf)
-    own = p.where("pos = 0").select("seq_id", F.col("q_wxyz").alias("q0"), F.col("tr").alias("t0"))
-    other = p.where("pos = 1").select("seq_id", F.col("q_wxyz").alias("q1"), F.col("tr").alias("t1"))
-    both = p.join(own, "seq_id").join(other, "seq_id")
+    whole = W.partitionBy("seq_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    at = lambda c, n: F.nth_value(c, n).over(whole)
+    both = posed(spark, sf).select("i", "q_wxyz", "tr", at("q_wxyz", 1).alias("q0"), at("tr", 1).alias("t0"), at("q_wxyz", 2).alias("q1"), at("tr", 2).alias("t1")).where("q1 IS NOT NULL")
     derived = g.compose(g.compose(pose_of(), g.inverse(pose_of("q0", "t0"))), pose_of("q1", "t1"))
     return both.select("i", *named(derived[1], "x", "y", "z"))
 
@@ -332,10 +333,10 @@ def camera_anti(spark, sf):
     return rules.unknown_cameras(f, f.join(known, "camera").select("seq_id", "camera"), "a frame").select("seq_id", "message")
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS seq_id, 'a rig names unknown camera ' || s_nationkey AS message FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS seq_id, 'a rig names unknown camera ' || s_nationkey AS message FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900 AND c_custkey % 3 = 0)")
 def rig_anti(spark, sf):
     rigs = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("seq_id"), F.col("s_nationkey").cast("string").alias("camera"))
-    known = table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").cast("string").alias("camera")).distinct()
+    known = table(spark, sf, "customer").where("c_acctbal > 9900 AND c_custkey % 3 = 0").select(F.col("c_nationkey").cast("string").alias("camera")).distinct()
     return rules.unknown_cameras(rigs, rigs.join(known, "camera").select("seq_id", "camera"), "a rig").select("seq_id", "message")
 
 
@@ -386,7 +387,7 @@ def locate_global(spark, sf):
     m = _customers(spark, sf)
     total = m.agg(F.sum("frames").alias("n")).first()["n"]
     asked = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") - total).otherwise(F.col("o_orderkey")).alias("index"))
-    return corpus.locate(asked, m).select("index", "member", "frame")
+    return corpus.locate(asked, m, total=total).select("index", "member", "frame")
 
 
 @query("WITH " + _CORPUS + " SELECT CAST(mi % 4 AS INTEGER) AS shard, count(*) AS members, CAST(sum(frames) AS BIGINT) AS frames FROM m GROUP BY 1")
@@ -395,15 +396,14 @@ def shard_partition(spark, sf):
     return m.groupBy("shard").agg(F.count("*").alias("members"), F.sum("frames").alias("frames"))
 
 
-@query("SELECT 0 AS shared, 0 AS missing, count(*) AS members FROM customer")
+@query("SELECT c_custkey AS mi, CAST(1 + c_nationkey AS BIGINT) AS frames, CAST(1 AS BIGINT) AS times, CAST(c_custkey % 3 AS INTEGER) AS plain FROM customer")
 def shard_cover(spark, sf):
-    """Shards are disjoint and complete, with a seed too."""
+    """How often each member is in three seeded shards, and in which one it is without a seed."""
     m = _customers(spark, sf)
     parts = [corpus.shard(m, k, 3, seed=7) for k in range(3)]
-    every = parts[0].union(parts[1]).union(parts[2])
-    seen = every.groupBy("mi").agg(F.count("*").alias("times"))
-    both = m.join(seen, "mi", "left")
-    return both.agg(F.count_if(F.col("times") > 1).cast("int").alias("shared"), F.count_if(F.col("times").isNull()).cast("int").alias("missing"), F.count("*").alias("members"))
+    times = parts[0].union(parts[1]).union(parts[2]).groupBy("mi", "frames").agg(F.count("*").alias("times"))
+    plain = [corpus.shard(m, k, 3).select("mi", F.lit(k).alias("plain")) for k in range(3)]
+    return times.join(plain[0].union(plain[1]).union(plain[2]), "mi")
 
 
 @query(FRAMES_SQL + " SELECT seq_id, pos, t FROM frames WHERE pose_valid")
@@ -414,15 +414,14 @@ def posed_only_scan(spark, sf):
 @query(FRAMES_SQL + " SELECT seq_id, pos - 5 AS i, t FROM frames WHERE pos >= 5 AND pos < 20")
 def trim_range(spark, sf):
     """Frames [5, 20) of every capture: the index is rebased, the time stays."""
-    return frames(spark, sf).where("pos >= 5 AND pos < 20").select("seq_id", (F.col("pos") - 5).alias("i"), "t")
+    return exports.trim(frames(spark, sf).withColumn("i", F.col("pos")), 5, 20).select("seq_id", "i", "t")
 
 
 @query(FRAMES_SQL + ", s AS (SELECT seq_id, min(t) AS a, max(t) AS b FROM frames WHERE pos >= 5 AND pos < 20 GROUP BY 1) SELECT f.seq_id, f.i FROM frames f JOIN s USING (seq_id) WHERE event_type = 'click' AND t >= a AND t <= b")
 def trim_imu_semi(spark, sf):
     """Samples within the time of the kept frames, ends included."""
     f = frames(spark, sf)
-    span = f.where("pos >= 5 AND pos < 20").groupBy("seq_id").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    return _kind(f, "click").join(span, "seq_id").where("t >= a AND t <= b").select("seq_id", "i")
+    return exports.trim_imu(_kind(f, "click"), exports.trim(f.withColumn("i", F.col("pos")), 5, 20)).select("seq_id", "i")
 
 
 @query(_MEMBERS + """, f AS (SELECT seq_id, CASE WHEN seq_id % 5 = 0 THEN frames + 1 ELSE frames END AS frames, posed_frames - seq_id % 2 AS posed_frames FROM members WHERE seq_id % 7 <> 3)
@@ -489,11 +488,9 @@ def median_dt(spark, sf):
     return frames(spark, sf).select("seq_id", gap.alias("d")).where("d IS NOT NULL").groupBy("seq_id").agg(r6(F.percentile("d", F.lit(0.5))).alias("median_dt"))
 
 
-@query(FRAMES_SQL + " SELECT seq_id, round(greatest(0.05, min(value) * 0.95), 6) AS near, round(greatest(2 * greatest(0.05, min(value) * 0.95), max(value) * 1.05), 6) AS far FROM frames WHERE isfinite(value) AND value > 0 GROUP BY 1")
+@query(FRAMES_SQL + ", u AS (SELECT seq_id, CASE WHEN isfinite(value) AND value > 0 THEN value END AS v FROM frames) SELECT seq_id, round(CASE WHEN count(v) > 0 THEN greatest(0.05, min(v) * 0.95) ELSE 0.1 END, 6) AS near, round(CASE WHEN count(v) > 0 THEN greatest(2 * greatest(0.05, min(v) * 0.95), max(v) * 1.05) ELSE 10.0 END, 6) AS far FROM u GROUP BY 1")
 def near_far_range(spark, sf):
-    usable = frames(spark, sf).where(~F.isnan("value") & (F.col("value") > 0) & (F.col("value") < float("inf")))
-    near = F.greatest(F.lit(0.05), F.min("value") * 0.95)
-    return usable.groupBy("seq_id").agg(r6(near).alias("near"), r6(F.greatest(2 * near, F.max("value") * 1.05)).alias("far"))
+    return planes.near_far(frames(spark, sf), ["seq_id"]).select("seq_id", r6(F.col("near")).alias("near"), r6(F.col("far")).alias("far"))
 
 
 @query(POSED_SQL + " SELECT seq_id, round(1.2 * max(greatest(abs(x), abs(y), abs(z))), 6) AS span FROM posed WHERE pose_valid GROUP BY 1")
@@ -546,38 +543,79 @@ def cumulative_frames(spark, sf):
 # --- text and export rows -------------------------------------------------------------------------
 
 
-@query(EVENTS_SQL + " SELECT event_id, us // 1000000 AS sec, (us % 1000000) * 1000 AS nanosec FROM ev")
+@query(FRAMES_SQL + ", n AS (SELECT event_id, CAST(floor(t) AS BIGINT) AS s, CAST(round((t - floor(t)) * 1e9) AS BIGINT) AS n FROM frames) SELECT event_id, s + CASE WHEN n >= 1000000000 THEN 1 ELSE 0 END AS sec, CASE WHEN n >= 1000000000 THEN 0 ELSE n END AS nanosec FROM n")
 def stamp_split(spark, sf):
-    """From whole microseconds, so nothing is rounded."""
-    e = events(spark, sf)
-    return e.select("event_id", F.floor(F.col("us") / 1_000_000).alias("sec"), ((F.col("us") % 1_000_000) * 1000).alias("nanosec"))
+    """Seconds to whole seconds and nanoseconds, carried."""
+    return frames(spark, sf).select("event_id", text.stamp(F.col("t")).alias("s")).select("event_id", "s.sec", "s.nanosec")
+
+
+def _text_posed(spark, sf):
+    """posed() as the exports take it: camera names, and positions as indices."""
+    return posed(spark, sf).withColumn("camera", F.col("camera").cast("string")).withColumn("i", F.col("pos"))
+
+
+_LENSES = "lens AS (SELECT DISTINCT seq_id, CAST(camera AS VARCHAR) AS camera FROM frames)"
+
+
+def _lenses(spark, sf):
+    """A calibration of each camera that a sequence uses."""
+    own = frames(spark, sf).select("seq_id", F.col("camera").cast("string").alias("camera")).distinct()
+    return own.select("seq_id", "camera", F.lit("PINHOLE").alias("model"), F.lit(640).alias("width"), F.lit(480).alias("height"), F.array(*[F.lit(x) for x in (500.0, 510.0, 320.0, 240.0)]).alias("params"))
 
 
-@query(POSED_SQL + " SELECT seq_id, pos, printf('%.6f %.6f %.6f %.6f', round(t, 6), round(x, 6)+0.0, round(y, 6)+0.0, round(z, 6)+0.0) AS line FROM posed WHERE pose_valid")
+@query(POSED_SQL + " SELECT seq_id, pos AS i, printf('%.6f %.6f %.6f %.6f %.6f %.6f %.6f %.6f', t, v[5], v[6], v[7], v[2], v[3], v[4], v[1]) AS line FROM frames JOIN vec ON vec_id = event_id % 500 WHERE pose_valid")
 def tum_trajectory_text(spark, sf):
-    p = posed(spark, sf).where("pose_valid")
-    return p.select("seq_id", "pos", F.format_string("%.6f %.6f %.6f %.6f", r6(F.col("t")), *[r6(c) for c in g.elements(F.col("tr"), 3)]).alias("line"))
+    return exports.tum_trajectory(_text_posed(spark, sf))
 
 
-@query(FRAMES_SQL + " SELECT seq_id, pos, concat_ws(',', i, printf('%.6f', round(t, 6)), camera) AS line FROM frames WHERE pose_valid")
+@query(POSED_SQL + " SELECT seq_id, pos AS i, CAST(pos AS VARCHAR) AS first, round(t, 6) AS t, round(v[1], 6) AS qw, round(v[7], 6) AS z, CAST(camera AS VARCHAR) AS camera, 10 AS fields FROM frames JOIN vec ON vec_id = event_id % 500 WHERE pose_valid")
 def poses_csv(spark, sf):
-    return frames(spark, sf).where("pose_valid").select("seq_id", "pos", F.concat_ws(",", F.col("i").cast("string"), F.format_string("%.6f", r6(F.col("t"))), F.col("camera").cast("string")).alias("line"))
+    f = F.split("line", ",")
+    n = lambda k: r6(f[k].cast("double"))
+    return exports.poses_csv(_text_posed(spark, sf)).select("seq_id", "i", f[0].alias("first"), n(1).alias("t"), n(2).alias("qw"), n(8).alias("z"), f[9].alias("camera"), F.size(f).alias("fields"))
 
 
-@query(FRAMES_SQL + ", m AS (SELECT seq_id, pos, CAST(round(t * 1000) AS BIGINT) AS ms FROM frames WHERE pose_valid) SELECT seq_id, pos, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS cue FROM m")
+@query(FRAMES_SQL + """, p AS (SELECT seq_id, pos, t - min(t) OVER (PARTITION BY seq_id) AS a, greatest(coalesce(lead(t) OVER (PARTITION BY seq_id ORDER BY pos), t + 1e0/30) - min(t) OVER (PARTITION BY seq_id), t - min(t) OVER (PARTITION BY seq_id) + 1e-3) AS b FROM frames WHERE pose_valid),
+m AS (SELECT seq_id, pos, CAST(round(a * 1000) AS BIGINT) AS ms, CAST(round(b * 1000) AS BIGINT) AS me FROM p)
+SELECT seq_id, pos AS i, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS start, printf('%02d:%02d:%02d.%03d', me // 3600000, me // 60000 % 60, me // 1000 % 60, me % 1000) AS stop FROM m""")
 def vtt_cues(spark, sf):
-    return frames(spark, sf).where("pose_valid").select("seq_id", "pos", text.vtt_time(F.col("t")).alias("cue"))
+    return exports.poses_vtt(_text_posed(spark, sf)).select("seq_id", "i", "start", "stop")
 
 
-@query(EVENTS_SQL + " SELECT event_id, us * 1000 AS log_time, '/tf' AS topic, 'u' || seq_id AS frame_id FROM ev WHERE event_type <> 'error' UNION ALL SELECT event_id, us * 1000, '/camera/' || event_id % 25 || '/camera_info', event_id % 25 || '_optical_frame' FROM ev WHERE event_type = 'view'")
+@query(POSED_SQL + """ SELECT f.seq_id, CAST(round(t * 1e9) AS BIGINT) AS log_time, '/tf' AS topic, f.camera || '_optical_frame' AS frame, CAST(floor(t) AS BIGINT) AS sec, round(v[5], 6) AS number FROM frames f JOIN vec ON vec_id = event_id % 500 WHERE pose_valid
+UNION ALL SELECT seq_id, CAST(round(t * 1e9) AS BIGINT), '/camera/' || camera || '/camera_info', camera || '_optical_frame', CAST(floor(t) AS BIGINT), 510.0 FROM frames
+UNION ALL SELECT seq_id, CAST(round(t * 1e9) AS BIGINT), '/imu/imu0', 'imu0', CAST(floor(t) AS BIGINT), CAST(event_id % 7 AS DOUBLE) FROM frames WHERE event_type = 'click'""")
 def message_rows(spark, sf):
-    """The rows of a message log: transforms of posed frames, calibration of images."""
-    e = events(spark, sf)
-    at = (F.col("us") * 1000).alias("log_time")
-    tf = e.where("event_type <> 'error'").select("event_id", at, F.lit("/tf").alias("topic"), F.concat(F.lit("u"), F.col("seq_id").cast("string")).alias("frame_id"))
-    camera = (F.col("event_id") % 25).cast("string")
-    info = _kind(e, "view").select("event_id", at, F.concat(F.lit("/camera/"), camera, F.lit("/camera_info")), text.optical_frame(camera))
-    return tf.union(info)
+    """The rows of a message log: transforms of posed frames, calibrations, samples."""
+    f = _text_posed(spark, sf)
+    imu = _kind(frames(spark, sf), "click").select("seq_id", F.lit("imu0").alias("imu_id"), "t", *[F.lit(0.0).alias(c) for c in ("gx", "gy", "gz", "ax", "ay")], (F.col("event_id") % 7).cast("double").alias("az"))
+    log = exports.messages(f, _lenses(spark, sf), imu)
+    field = lambda path: F.get_json_object("message", path)
+    frame = F.coalesce(field("$.child_frame_id"), field("$.header.frame_id"))
+    number = F.coalesce(field("$.transform.translation.x"), field("$.k[4]"), field("$.linear_acceleration.z")).cast("double")
+    return log.select("seq_id", "log_time", "topic", frame.alias("frame"), field("$.header.stamp.sec").cast("bigint").alias("sec"), r6(number).alias("number"))
+
+
+@query(POSED_SQL + ", w AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS n, dense_rank() OVER (PARTITION BY seq_id ORDER BY CAST(camera AS VARCHAR)) AS c FROM rot WHERE pose_valid) SELECT seq_id, pos AS i, n, CAST(c AS BIGINT) AS c, round(-(m00*x+m10*y+m20*z), 5)+0.0 AS x, round(-(m02*x+m12*y+m22*z), 5)+0.0 AS z, printf('frame_%05d.png', pos) AS name FROM w")
+def colmap_image_lines(spark, sf):
+    f = F.split("line", " ")
+    n = lambda k: F.round(f[k].cast("double"), 5) + F.lit(0.0)
+    return exports.colmap_images(_text_posed(spark, sf)).select("seq_id", "i", f[0].cast("bigint").alias("n"), f[8].cast("bigint").alias("c"), n(5).alias("x"), n(7).alias("z"), f[9].alias("name"))
+
+
+@query(FRAMES_SQL + ", " + _LENSES + " SELECT seq_id, camera, row_number() OVER (PARTITION BY seq_id ORDER BY camera) || ' PINHOLE 640 480 500.0 510.0 320.0 240.0' AS line FROM lens")
+def colmap_camera_lines(spark, sf):
+    return exports.colmap_cameras(_lenses(spark, sf))
+
+
+@query(POSED_SQL + ", k AS (SELECT seq_id, count(*) AS frames, round(sum(x), 4) AS x, round(sum(-m01), 4) AS m01 FROM rot WHERE pose_valid GROUP BY 1) SELECT seq_id, frames, x, m01, 500.0 AS fl_x FROM k")
+def transforms_documents(spark, sf):
+    """One document per sequence, read again: how many frames, sums over their matrices, the focal length."""
+    f = _text_posed(spark, sf).withColumn("camera", F.lit("0"))
+    one = _lenses(spark, sf).groupBy("seq_id").agg(F.first("model").alias("model"), F.first("width").alias("width"), F.first("height").alias("height"), F.first("params").alias("params")).withColumn("camera", F.lit("0"))
+    parsed = exports.transforms_json(f, one).select("seq_id", F.from_json("document", "fl_x double, frames array<struct<transform_matrix:array<array<double>>>>").alias("d"))
+    rows = parsed.select("seq_id", "d.fl_x", F.explode("d.frames.transform_matrix").alias("m"))
+    return rows.groupBy("seq_id").agg(F.count("*").alias("frames"), F.round(F.sum(F.col("m")[0][3]), 4).alias("x"), F.round(F.sum(F.col("m")[0][1]), 4).alias("m01"), F.max("fl_x").alias("fl_x"))
 
 
 @query("SELECT page_id, url, (url LIKE 'http://%' OR url LIKE 'https://%') AS remote, CASE WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN url ELSE '/data/' || url END AS location FROM pages")
