@@ -431,9 +431,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = signed.where("n > 0").groupBy("n", "s0", "s1").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "n_hot", "prefix", "bits")).alias("c"))
     classes = first.select("n", "s0", "s1", "c.id", "c.key", "c.n_hot", "c.prefix", "c.bits").withColumn("cls", F.monotonically_increasing_id())
     classes = materialise(classes.withColumn("p0", F.xxhash64("n", "prefix")).withColumn("p1", F.xxhash64("prefix", "n", F.lit(1))), "classes")
-    compact = materialise(signed.select("id", "key", "n", "s0", "s1"), "keys")
-    drop_scratch(signed)
-    small = materialise(classes.drop("prefix", "n_hot"), "class-keys")
+    # both tables stay to the end; of their columns only those are read that are asked for
+    compact, small = signed.select("id", "key", "n", "s0", "s1"), classes.drop("prefix", "n_hot")
     groups = small.groupBy("n", "p0", "p1").agg(F.min("cls").alias("gid"), F.count("*").alias("members"))
 
     # members of groups with more than one class
@@ -445,7 +444,6 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     salted = tokens.select("token", F.when(hot, F.pmod(F.xxhash64("gid"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"), hot.alias("hot"), "gid", "n", (F.col("n") - F.col("pos")).alias("left"))
     met = salted.repartition("token", "salt").sortWithinPartitions("token", "salt", "gid").mapInArrow(_meetings, "token bigint, gid bigint, n bigint, left bigint, pivot bigint, pivot_n bigint, pivot_left bigint, hot boolean")
     met = materialise(met, "meetings")
-    drop_scratch(classes)
 
     stars = met.where("pivot <> gid").where(_possible("n", "left", "pivot_n", "pivot_left")).select(F.col("pivot").alias("a"), F.col("gid").alias("b"))
     pivots = met.where("hot").select("token", "pivot").distinct()
