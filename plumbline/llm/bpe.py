@@ -10,7 +10,10 @@ border between the two and is memoised.
 Pieces (matches of the pattern) are independent; a bounded cache holds their encodings. Work is a
 scalar Arrow UDF: no shuffle, and memory is bounded by the batch and the cache.
 
-Null and empty texts encode to no tokens and decode to no bytes. Rows are encoded one by one.
+Null and empty texts encode to no tokens and decode to no bytes; texts of any length are encoded whole,
+and a long piece takes time and memory in proportion. Rows are encoded one by one: repeated rows, and
+rows without an id, get the tokens of their own text. Equally long tokens at a position can't differ,
+so there are no ties. An empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations

@@ -11,8 +11,12 @@ bytes: sorted hashes of the windows tell which, and no longer repeat is in any o
 Documents of a slice of an Arrow batch are sorted together (the document is the first part of the
 key, so no match crosses documents). Nothing is shuffled and each slice is bounded.
 
-Null and empty texts have no words and fail the base rule. Rows are judged one by one: repeated
-rows get equal results. Input columns other than the text are passed through untouched.
+Null and empty texts have no words and fail the base rule. Texts of any length are judged whole; a
+long one takes about 60 bytes of memory, and 4 more for each doubling of its longest repeat, for each
+word, and as much for each byte if a window of ``MIN_REPEAT_BYTES`` is repeated. Rows are judged one
+by one: repeated rows get equal results, and ids play no part. A limit that is just met is kept (so
+ties don't matter). An empty table gives an empty result. Input columns other than the text are
+passed through untouched; one with the name of the result is replaced.
 """
 
 from __future__ import annotations

@@ -77,4 +77,19 @@ def op9_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_quality(table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op3_chunk_dedup, op4_suffix_dedup, op5_jaccard_join, op6_language_id, op7_url_reputation, op8_secret_scan, op9_repetition_quality, op10_vantage_search)}
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2 doesn't depend on the order of documents."""
+    return op2_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op8's base kinds."""
+    return op8_secret_scan(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in secret_scan.KINDS])
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's base columns."""
+    return op9_repetition_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES = {f.__name__: f for f in (mix_targets, secret_counts, quality_base, op1_byte_bpe, op2_mix_sources, op3_chunk_dedup, op4_suffix_dedup, op5_jaccard_join, op6_language_id, op7_url_reputation, op8_secret_scan, op9_repetition_quality, op10_vantage_search)}
