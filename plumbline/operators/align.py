@@ -97,6 +97,15 @@ def bracket(left: DataFrame, right: DataFrame, by: list[str], t: str, order: str
     )
 
 
+def last_before(left: DataFrame, right: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Each left row (l) with the last right row (r) whose ``at`` isn't beyond its own; null if there is none."""
+    one, two = F.struct(*left.columns), F.struct(*right.columns)
+    a = left.select(*by, at, one.alias("l"))
+    both = a.unionByName(right.select(*by, at, two.alias("r")), allowMissingColumns=True)
+    order = W.partitionBy(*by).orderBy(at, F.col("l").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return both.withColumn("_r", F.last("r", True).over(order)).where(F.col("l").isNotNull()).select("l", F.col("_r").alias("r"))
+
+
 def interpolated_pose(a: Column, b: Column, u: Column) -> tuple[g.Vector, g.Vector]:
     """(quaternion, translation) between two pose structs with array fields q_wxyz and tr."""
     return g.slerp(g.elements(a["q_wxyz"], 4), g.elements(b["q_wxyz"], 4), u), g.lerp(g.elements(a["tr"], 3), g.elements(b["tr"], 3), u)
@@ -109,7 +118,7 @@ def greedy_pairs(left: DataFrame, right: DataFrame, by: str, t: str, order: str,
     in_time = W.partitionBy(by).orderBy(t, "side", "i")
     gap = F.col(t) - F.lag(t).over(in_time)
     islands = both.withColumn("new", F.coalesce((gap >= max_dt).cast("int"), F.lit(0))).withColumn("island", F.sum("new").over(in_time))
-    return islands.groupBy(by, "island").applyInPandas(_greedy(by, t, max_dt), f"{by} bigint, a bigint, b bigint")
+    return islands.groupBy(by, "island").applyInPandas(_greedy(by, t, max_dt), f"{by} {left.schema[by].dataType.simpleString()}, a bigint, b bigint")
 
 
 def _greedy(by: str, t: str, max_dt: float):
@@ -131,7 +140,7 @@ def _greedy(by: str, t: str, max_dt: float):
                 left_used.add(i)
                 right_used.add(j)
                 out.append((i, j))
-        return pd.DataFrame({by: pd.Series([rows[by].iloc[0]] * len(out), dtype="int64"), "a": pd.Series([x for x, _ in out], dtype="int64"), "b": pd.Series([y for _, y in out], dtype="int64")})
+        return pd.DataFrame({by: pd.Series([rows[by].iloc[0]] * len(out), dtype=rows[by].dtype), "a": pd.Series([x for x, _ in out], dtype="int64"), "b": pd.Series([y for _, y in out], dtype="int64")})
 
     return pair
 

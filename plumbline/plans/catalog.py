@@ -321,7 +321,7 @@ def dup_index(spark, sf):
     return rules.duplicate_index(frames(spark, sf).withColumn("i", F.col("i") % 97)).select("seq_id", "message")
 
 
-@query(POSED_SQL + " SELECT seq_id, 'frame ' || i || ' has no unit quaternion' AS message FROM frames JOIN vec ON vec_id = event_id % 500 WHERE pose_valid AND abs(sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+v[4]*v[4]) - 1) > 0.001")
+@query(POSED_SQL + " SELECT seq_id, 'frame ' || i || ' has no unit quaternion' AS message FROM frames JOIN vec ON vec_id = event_id % vectors WHERE pose_valid AND abs(sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+v[4]*v[4]) - 1) > 0.001")
 def quat_unit_rule(spark, sf):
     return rules.unit_quaternions(posed(spark, sf)).select("seq_id", "message")
 
@@ -340,7 +340,7 @@ def rig_anti(spark, sf):
     return rules.unknown_cameras(rigs, rigs.join(known, "camera").select("seq_id", "camera"), "a rig").select("seq_id", "message")
 
 
-@query(POSED_SQL + """, q AS (SELECT 'error' AS severity FROM frames JOIN vec ON vec_id = event_id % 500 WHERE pose_valid AND abs(sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+v[4]*v[4]) - 1) > 0.001),
+@query(POSED_SQL + """, q AS (SELECT 'error' AS severity FROM frames JOIN vec ON vec_id = event_id % vectors WHERE pose_valid AND abs(sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+v[4]*v[4]) - 1) > 0.001),
 d AS (SELECT DISTINCT seq_id FROM (SELECT seq_id, value < lag(value) OVER (PARTITION BY seq_id ORDER BY pos) AS bad FROM frames) WHERE bad),
 n AS (SELECT c_custkey FROM customer ANTI JOIN events ON user_id = c_custkey)
 SELECT severity, count(*) AS n FROM (SELECT severity FROM q UNION ALL SELECT 'error' FROM d UNION ALL SELECT 'warning' FROM n) GROUP BY 1""")
@@ -563,12 +563,12 @@ def _lenses(spark, sf):
     return own.select("seq_id", "camera", F.lit("PINHOLE").alias("model"), F.lit(640).alias("width"), F.lit(480).alias("height"), F.array(*[F.lit(x) for x in (500.0, 510.0, 320.0, 240.0)]).alias("params"))
 
 
-@query(POSED_SQL + " SELECT seq_id, pos AS i, printf('%.6f %.6f %.6f %.6f %.6f %.6f %.6f %.6f', t, v[5], v[6], v[7], v[2], v[3], v[4], v[1]) AS line FROM frames JOIN vec ON vec_id = event_id % 500 WHERE pose_valid")
+@query(POSED_SQL + " SELECT seq_id, pos AS i, printf('%.6f %.6f %.6f %.6f %.6f %.6f %.6f %.6f', t, v[5], v[6], v[7], v[2], v[3], v[4], v[1]) AS line FROM frames JOIN vec ON vec_id = event_id % vectors WHERE pose_valid")
 def tum_trajectory_text(spark, sf):
     return exports.tum_trajectory(_text_posed(spark, sf))
 
 
-@query(POSED_SQL + " SELECT seq_id, pos AS i, CAST(pos AS VARCHAR) AS first, round(t, 6) AS t, round(v[1], 6) AS qw, round(v[7], 6) AS z, CAST(camera AS VARCHAR) AS camera, 10 AS fields FROM frames JOIN vec ON vec_id = event_id % 500 WHERE pose_valid")
+@query(POSED_SQL + " SELECT seq_id, pos AS i, CAST(pos AS VARCHAR) AS first, round(t, 6) AS t, round(v[1], 6) AS qw, round(v[7], 6) AS z, CAST(camera AS VARCHAR) AS camera, 10 AS fields FROM frames JOIN vec ON vec_id = event_id % vectors WHERE pose_valid")
 def poses_csv(spark, sf):
     f = F.split("line", ",")
     n = lambda k: r6(f[k].cast("double"))
@@ -582,7 +582,7 @@ def vtt_cues(spark, sf):
     return exports.poses_vtt(_text_posed(spark, sf)).select("seq_id", "i", "start", "stop")
 
 
-@query(POSED_SQL + """ SELECT f.seq_id, CAST(round(t * 1e9) AS BIGINT) AS log_time, '/tf' AS topic, f.camera || '_optical_frame' AS frame, CAST(floor(t) AS BIGINT) AS sec, round(v[5], 6) AS number FROM frames f JOIN vec ON vec_id = event_id % 500 WHERE pose_valid
+@query(POSED_SQL + """ SELECT f.seq_id, CAST(round(t * 1e9) AS BIGINT) AS log_time, '/tf' AS topic, f.camera || '_optical_frame' AS frame, CAST(floor(t) AS BIGINT) AS sec, round(v[5], 6) AS number FROM frames f JOIN vec ON vec_id = event_id % vectors WHERE pose_valid
 UNION ALL SELECT seq_id, CAST(round(t * 1e9) AS BIGINT), '/camera/' || camera || '/camera_info', camera || '_optical_frame', CAST(floor(t) AS BIGINT), 510.0 FROM frames
 UNION ALL SELECT seq_id, CAST(round(t * 1e9) AS BIGINT), '/imu/imu0', 'imu0', CAST(floor(t) AS BIGINT), CAST(event_id % 7 AS DOUBLE) FROM frames WHERE event_type = 'click'""")
 def message_rows(spark, sf):

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import geometry as g
 from plumbline.functions import text
-from plumbline.operators import corpus, planes, rules
-from plumbline.plans.catalog import _kind, query, r6
+from plumbline.operators import align, corpus, planes, rules
+from plumbline.plans.catalog import _kind, _lenses, _text_posed, query, r6
 from plumbline.plans.views import EVENTS_SQL, FRAMES_SQL, POSED_SQL, events, frames, posed, table
-from plumbline.sources import convert
+from plumbline.sources import convert, exports
 from plumbline.streaming import live
 
 # --- rules ------------------------------------------------------------------------------------------
@@ -326,3 +327,61 @@ def parser_cache(spark, sf):
     """Posed frames and scene box of each sequence, as a trainer's parser keeps them."""
     p = posed(spark, sf).where("pose_valid")
     return p.groupBy("seq_id").agg(r6(1.2 * F.max(F.array_max(F.transform("tr", F.abs)))).alias("span"), F.count("*").alias("frames"))
+
+
+def _log(spark, sf) -> DataFrame:
+    f = _text_posed(spark, sf)
+    imu = _kind(frames(spark, sf), "click").select("seq_id", F.lit("imu0").alias("imu_id"), "t", *[F.lit(0.0).alias(c) for c in ("gx", "gy", "gz", "ax", "ay")], (F.col("event_id") % 7).cast("double").alias("az"))
+    return exports.messages(f, _lenses(spark, sf), imu)
+
+
+@query(POSED_SQL + """, l AS (SELECT seq_id, camera, t, CAST(round(t * 1e9) AS BIGINT) AS ns FROM frames), r AS (SELECT f.seq_id, f.camera, t, v[5] AS x FROM frames f JOIN vec ON vec_id = event_id % vectors WHERE pose_valid),
+g AS (SELECT seq_id, camera, t - lag(t) OVER (PARTITION BY seq_id, camera ORDER BY t) AS gap FROM l), lim AS (SELECT seq_id, camera, coalesce(median(gap) / 2, 1e0/60) AS tol FROM g GROUP BY ALL),
+p AS (SELECT l.seq_id, l.camera, l.ns, l.t, r.t AS pt, r.x AS px FROM l ASOF LEFT JOIN r ON l.seq_id = r.seq_id AND l.camera = r.camera AND l.t >= r.t),
+n AS (SELECT l.seq_id, l.camera, l.ns, r.t AS nt, r.x AS nx FROM l ASOF LEFT JOIN r ON l.seq_id = r.seq_id AND l.camera = r.camera AND l.t <= r.t),
+b AS (SELECT p.seq_id, p.camera, p.ns, CASE WHEN nt IS NULL OR t - pt <= nt - t THEN px ELSE nx END AS x, CASE WHEN nt IS NULL OR t - pt <= nt - t THEN t - pt ELSE nt - t END AS d FROM p JOIN n USING (seq_id, camera, ns))
+SELECT seq_id, CAST(camera AS VARCHAR) AS camera, ns, coalesce(d <= tol, false) AS pose_valid, round(CASE WHEN d <= tol THEN x END, 6) + 0.0 AS x FROM b JOIN lim USING (seq_id, camera)""")
+def log_frames(spark, sf):
+    """Frames out of a message log, each with the nearest transform of its camera."""
+    return convert.from_log(_log(spark, sf))["frames"].select("seq_id", "camera", "ns", "pose_valid", r6(F.col("tr")[0]).alias("x"))
+
+
+@query(FRAMES_SQL + " SELECT DISTINCT seq_id, CAST(camera AS VARCHAR) AS camera, 640 AS width, 5.1e2 AS fy, 2.4e2 AS cy FROM frames")
+def log_cameras(spark, sf):
+    return convert.from_log(_log(spark, sf))["cameras"].select("seq_id", "camera", "width", F.col("params")[1].alias("fy"), F.col("params")[3].alias("cy"))
+
+
+@query(FRAMES_SQL + " SELECT seq_id, 'imu0' AS imu_id, round(t, 6) AS t, CAST(event_id % 7 AS DOUBLE) AS az FROM frames WHERE event_type = 'click'")
+def log_samples(spark, sf):
+    return convert.from_log(_log(spark, sf))["imu"].select("seq_id", "imu_id", r6(F.col("t")).alias("t"), "az")
+
+
+@query(FRAMES_SQL + ", c AS (SELECT seq_id, pos FROM frames WHERE event_type = 'purchase' OR pos = 0) SELECT f.seq_id, f.pos, c.pos AS first, f.pos - c.pos AS inside FROM frames f ASOF JOIN c ON f.seq_id = c.seq_id AND f.pos >= c.pos")
+def frame_cluster(spark, sf):
+    """The cluster that each frame is in: the last that begins at or before it."""
+    f = frames(spark, sf).select("seq_id", "pos", "event_type")
+    found = align.last_before(f.select("seq_id", "pos"), f.where("event_type = 'purchase' OR pos = 0").select("seq_id", "pos"), ["seq_id"], "pos")
+    return found.select("l.seq_id", "l.pos", F.col("r.pos").alias("first"), (F.col("l.pos") - F.col("r.pos")).alias("inside"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_partkey % 65536 AS INTEGER) WHEN round_even(l_extendedprice / 1000 / 0.0002, 0) BETWEEN 1 AND 65535 THEN CAST(round_even(l_extendedprice / 1000 / 0.0002, 0) AS INTEGER) ELSE 0 END AS code FROM lineitem")
+def depth_export(spark, sf):
+    """Depth pictures: codes as stored where their unit is that of the export."""
+    c = table(spark, sf, "lineitem")
+    scale = F.when(F.col("l_linenumber") % 2 == 0, exports.DEPTH_UNIT).otherwise(0.001)
+    return c.select("l_orderkey", "l_linenumber", exports.depth_codes((F.col("l_partkey") % 65536).cast("int"), F.col("l_extendedprice") / 1000, scale).alias("code"))
+
+
+@query(_PLANE + ", h AS (SELECT i, string_agg(lpad(hex(raw % 256), 2, '0') || lpad(hex(raw // 256), 2, '0'), '' ORDER BY v, u) AS body FROM px GROUP BY 1) SELECT i, CAST(160 AS BIGINT) AS bytes, '934E554D505901007600' AS magic, body FROM h")
+def plane_array_files(spark, sf):
+    n = exports.npy(_planes(spark, sf))
+    return n.select("i", F.length("content").cast("bigint").alias("bytes"), F.hex(F.substring("content", 1, 10)).alias("magic"), F.hex(F.substring("content", 129, 32)).alias("body"))
+
+
+@query("WITH c AS (SELECT s_suppkey AS id, s_acctbal AS a, s_nationkey AS k FROM supplier) SELECT id, round(CASE WHEN id % 2 = 0 THEN k ELSE a END, 6) AS fx, round(CASE WHEN id % 2 = 0 THEN 2.0 ELSE 3.0 END, 6) AS cx FROM c")
+def camera_override(spark, sf):
+    """Parameters of a frame's own replace those of its camera."""
+    s = table(spark, sf, "supplier")
+    own = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.col("s_nationkey").cast("double"), F.lit(1.0), F.lit(2.0), F.lit(2.5)))
+    k = g.intrinsics(F.lit("PINHOLE"), F.coalesce(own, F.array(F.col("s_acctbal"), F.lit(1.0), F.lit(3.0), F.lit(3.5))))
+    return s.select(F.col("s_suppkey").alias("id"), r6(k[0]).alias("fx"), r6(k[2]).alias("cx"))

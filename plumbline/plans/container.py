@@ -48,7 +48,7 @@ def _pose_columns(f: DataFrame) -> DataFrame:
     return f.select("seq_id", "i", "t", "camera", "pose_valid", r6(F.col("q_wxyz")[0]).alias("qw"), r6(F.col("tr")[2]).alias("z"))
 
 
-_POSES = POSED_SQL + " SELECT CAST(seq_id AS VARCHAR) AS seq_id, pos AS i, t, CAST(camera AS VARCHAR) AS camera, pose_valid, round(CASE WHEN pose_valid THEN v[1] END, 6)+0.0 AS qw, round(CASE WHEN pose_valid THEN v[7] END, 6)+0.0 AS z FROM frames JOIN vec ON vec_id = event_id % 500"
+_POSES = POSED_SQL + " SELECT CAST(seq_id AS VARCHAR) AS seq_id, pos AS i, t, CAST(camera AS VARCHAR) AS camera, pose_valid, round(CASE WHEN pose_valid THEN v[1] END, 6)+0.0 AS qw, round(CASE WHEN pose_valid THEN v[7] END, 6)+0.0 AS z FROM frames JOIN vec ON vec_id = event_id % vectors"
 
 
 @query(_POSES)

@@ -1,8 +1,8 @@
 """The driver's tables seen as captures, in Spark and as the same in SQL.
 
 A user is a sequence, an event a pose record: its time is the seconds since the user's first event,
-an ``error`` event is unposed, and the vector numbered ``event_id % 500`` gives quaternion and
-translation. Nations are cameras, orders members of a corpus, line items raw codes.
+an ``error`` event is unposed, and the vector numbered ``event_id`` modulo the number of vectors gives
+quaternion and translation. Nations are cameras, orders members of a corpus, line items raw codes.
 """
 
 from __future__ import annotations
@@ -42,10 +42,11 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """frames() with q_wxyz and tr."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    e = table(spark, sf_dir, "embeddings")
+    v = e.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     return (
         frames(spark, sf_dir)
-        .withColumn("vec_id", F.col("event_id") % 500)
+        .withColumn("vec_id", F.col("event_id") % max(1, e.count()))
         .join(v, "vec_id")
         .withColumn("q_wxyz", F.slice("v", 1, 4))
         .withColumn("tr", F.slice("v", 5, 3))
@@ -63,10 +64,10 @@ FRAMES_SQL = (
 )
 POSED_SQL = (
     FRAMES_SQL
-    + """, vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), posed AS (
+    + """, vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, (SELECT count(*) FROM embeddings) AS vectors FROM embeddings), posed AS (
   SELECT f.*, v[1] / sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+v[4]*v[4]) AS qw, v[2] / sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+v[4]*v[4]) AS qx,
          v[3] / sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+v[4]*v[4]) AS qy, v[4] / sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+v[4]*v[4]) AS qz,
-         v[5] AS x, v[6] AS y, v[7] AS z FROM frames f JOIN vec ON vec_id = event_id % 500), rot AS (
+         v[5] AS x, v[6] AS y, v[7] AS z FROM frames f JOIN vec ON vec_id = event_id % vectors), rot AS (
   SELECT *, 1-2*(qy*qy+qz*qz) AS m00, 2*(qx*qy-qw*qz) AS m01, 2*(qx*qz+qw*qy) AS m02, 2*(qx*qy+qw*qz) AS m10, 1-2*(qx*qx+qz*qz) AS m11,
          2*(qy*qz-qw*qx) AS m12, 2*(qx*qz-qw*qy) AS m20, 2*(qy*qz+qw*qx) AS m21, 1-2*(qx*qx+qy*qy) AS m22 FROM posed)"""
 )

@@ -123,6 +123,32 @@ def by_stem(cameras: DataFrame, depths: DataFrame, confidences: DataFrame) -> Da
     return checked.drop("_d", "_c")
 
 
+def from_log(log: DataFrame) -> dict[str, DataFrame]:
+    """frames, cameras, imu of a message log (seq_id, log_time, topic, message as exports.messages() has them).
+
+    A calibration message stands for its picture; of several per camera the first one counts. Only
+    transforms of optical frames are poses; the nearest within half the median distance of a camera's
+    pictures is taken.
+    """
+    field = lambda path: F.get_json_object("message", path)
+    t = field("$.header.stamp.sec").cast("double") + field("$.header.stamp.nanosec").cast("double") * 1e-9
+    info = log.where(F.col("topic").endswith("/camera_info")).select(
+        "seq_id", F.col("log_time").alias("ns"), t.alias("t"), text.camera_of_frame(field("$.header.frame_id")).alias("camera"), F.from_json(field("$.k"), "array<double>").alias("k"), field("$.width").cast("int").alias("width"), field("$.height").cast("int").alias("height")
+    )
+    number = lambda path: field(path).cast("double")
+    rotation, place = [number(f"$.transform.rotation.{c}") for c in "wxyz"], [number(f"$.transform.translation.{c}") for c in "xyz"]
+    tf = log.where(F.col("topic") == "/tf").select("seq_id", F.col("log_time").alias("ns"), t.alias("t"), text.camera_of_frame(field("$.child_frame_id")).alias("camera"), F.array(*rotation).alias("q_wxyz"), F.array(*place).alias("tr")).where("camera IS NOT NULL")
+    found = align.nearest_by_median(info.select("seq_id", "camera", "ns", "t"), tf, ["seq_id", "camera"], "t", "ns")
+    frames = found.select("l.seq_id", "l.camera", "l.ns", "l.t", F.col("r").isNotNull().alias("pose_valid"), "r.q_wxyz", "r.tr")
+    frames = frames.withColumn("i", (F.row_number().over(W.partitionBy("seq_id").orderBy("t", "ns", "camera")) - 1).cast("bigint"))
+    first = info.groupBy("seq_id", "camera").agg(F.min_by(F.struct("k", "width", "height"), "ns").alias("c"))
+    k = F.col("c.k")
+    cameras = first.select("seq_id", "camera", F.lit("PINHOLE").alias("model"), "c.width", "c.height", F.array(k[0], k[4], k[2], k[5]).alias("params"))
+    turn, force = ([number(f"$.{name}.{c}") for c in "xyz"] for name in ("angular_velocity", "linear_acceleration"))
+    imu = log.where(F.col("topic").startswith("/imu/")).select("seq_id", F.substr("topic", F.lit(6)).alias("imu_id"), t.alias("t"), *[c.alias(n) for c, n in zip(turn + force, ("gx", "gy", "gz", "ax", "ay", "az"), strict=True)])
+    return {"frames": frames, "cameras": cameras, "imu": imu.orderBy("seq_id", "imu_id", "t")}
+
+
 def rate(frames: DataFrame, digits: int = 3, default: float = 30.0, posed_only: bool = False, least: float | None = None) -> DataFrame:
     """seq_id, fps: (frames - 1) over the time from the first to the last, or the default where that can't be said."""
     own = F.when(F.col("pose_valid"), F.col("t")) if posed_only else F.col("t")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from plumbline.functions import geometry as g
-from plumbline.functions import text
+from plumbline.functions import text, values
 
 
 def _all(array: str, n: int) -> list[Column]:
@@ -36,6 +36,27 @@ def imu_csv(imu: DataFrame) -> DataFrame:
     return imu.select("seq_id", number.alias("i"), F.concat_ws(",", "imu_id", *[F.col(c).cast("string") for c in ("t", "gx", "gy", "gz", "ax", "ay", "az")]).alias("line"))
 
 
+#: Units of a depth picture's codes in metres.
+DEPTH_UNIT = 1 / 5000
+
+
+def depth_codes(raw: Column, value: Column, scale: Column, unit: float = DEPTH_UNIT) -> Column:
+    """Codes of a 16-bit depth picture: as stored if its unit is this one, else rounded; what doesn't fit is 0."""
+    return F.when(scale == unit, raw).otherwise(values.requantize(value, unit))
+
+
+def npy(planes: DataFrame) -> DataFrame:
+    """seq_id, i, signal_id, content: each plane of 16-bit codes as an array file of its own."""
+
+    def head(w: Column, h: Column) -> Column:
+        text_ = F.concat(F.lit("{'descr': '<u2', 'fortran_order': False, 'shape': ("), h.cast("string"), F.lit(", "), w.cast("string"), F.lit("), }"))
+        return F.concat(F.rpad(text_, 117, " "), F.lit("\n"))
+
+    # magic, version 1.0, and the length of the head: 128 bytes in all
+    fixed = F.unhex(F.lit("934E554D5059" + "0100" + "7600"))
+    return planes.select("seq_id", "i", "signal_id", F.concat(fixed, head(F.col("w"), F.col("h")).cast("binary"), F.col("codes")).alias("content"))
+
+
 def refuse_hdr(streams: DataFrame) -> DataFrame:
     """The streams, of which none may be HDR: these exports hold 8 bits."""
     return streams.where(F.when(F.col("hdr"), F.raise_error(F.concat(F.lit("HDR stream "), "id", F.lit(" can't be exported at 8 bits"))).cast("boolean")).otherwise(True))

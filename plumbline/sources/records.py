@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -135,13 +137,71 @@ def build_file(capture: dict, prefix: str = ebml.TAG_PREFIX, form: str = "auto",
     if not live:
         body = [encode_cluster(i, b) for i, b in enumerate(video)]
         return ebml.encode_file([encode_info(), ebml.encode_tags({**tags, **samples})], body)
-    parts: list[bytes] = []
-    for k in range(0, len(frames), chunk):
-        mine = {f"{prefix}_POSES": pack_frames(frames[k : k + chunk], cameras)}
-        parts += [ebml.encode_tags(mine | (samples if k == 0 else {})), encode_cluster(k, video[k] if k < len(video) else b"")]
-    table = ebml.encode_tags({f"{prefix}_FRAMES": pack_frames(frames, cameras)})
-    head = b"".join([ebml.encode_head(), (0x18538067).to_bytes(4, "big"), b"\x01\xff\xff\xff\xff\xff\xff\xff"])
-    return b"".join([head, encode_info(), ebml.encode_tags(tags), *parts, table])
+    out = io.BytesIO()
+    writer = LiveWriter(out.write, document, cameras, prefix, chunk)
+    waiting = {k: list(v.get("samples") or []) for k, v in imu.items()}
+    for n, f in enumerate(frames):
+        for k, rows in waiting.items():
+            while rows and (rows[0][0] <= f["t"] or n == len(frames) - 1):
+                writer.add_imu(k, rows.pop(0))
+        writer.add_frame(f, video[n // chunk] if n % chunk == 0 and n // chunk < len(video) else b"")
+    writer.finish()
+    return out.getvalue()
+
+
+class LiveWriter:
+    """Writes a capture while it is made: what is held is one chunk of frames, and the packed records for the table at the end.
+
+    sink takes bytes. Poses and samples of a chunk come before its cluster, so a reader that has a
+    picture has its pose; a recording that stops is whole up to its last chunk.
+    """
+
+    def __init__(self, sink: Callable[[bytes], object], document: dict, cameras: list[str], prefix: str = ebml.TAG_PREFIX, chunk: int = 30):
+        self.sink, self.cameras, self.prefix, self.chunk = sink, cameras, prefix, chunk
+        self.frames: list[dict] = []
+        self.samples: dict[str, list] = {}
+        self.payload, self.written, self.packed, self.last = b"", 0, [], None
+        sink(b"".join([ebml.encode_head(), (0x18538067).to_bytes(4, "big"), b"\x01\xff\xff\xff\xff\xff\xff\xff", encode_info(), ebml.encode_tags({prefix: json.dumps(document | {"frames": []}, separators=(",", ":"))})]))
+
+    def add_frame(self, frame: dict, payload: bytes = b"") -> None:
+        if self.last is not None and frame["t"] < self.last:
+            raise ValueError("frame times go back")
+        self.last = frame["t"]
+        self.frames.append(frame)
+        self.payload += payload
+        if len(self.frames) == self.chunk:
+            self.flush()
+
+    def add_imu(self, stream: str, sample: list[float]) -> None:
+        self.samples.setdefault(stream, []).append(sample)
+
+    def flush(self) -> None:
+        if not self.frames:
+            return
+        raw = pack_frames(self.frames, self.cameras)
+        tags = {f"{self.prefix}_POSES": raw} | {f"{self.prefix}_IMU_{k}": pack_imu(v) for k, v in self.samples.items() if v}
+        self.sink(ebml.encode_tags(tags) + encode_cluster(self.written, self.payload))
+        self.packed.append(raw)
+        self.written += len(self.frames)
+        self.frames, self.samples, self.payload = [], {}, b""
+
+    def finish(self) -> int:
+        """Writes what is left and the table of all frames; returns their number."""
+        self.flush()
+        rest = {f"{self.prefix}_IMU_{k}": pack_imu(v) for k, v in self.samples.items() if v}
+        self.sink(ebml.encode_tags({f"{self.prefix}_FRAMES": b"".join(self.packed)} | rest))
+        return self.written
+
+
+def write_streaming(path: str, document: dict, cameras: list[str], frames: Iterable[tuple[dict, bytes]], prefix: str = ebml.TAG_PREFIX, chunk: int = 30) -> int:
+    """A file from an iterator of (frame, encoded picture), one at a time; an empty one is an error."""
+    with open(path, "wb") as f:
+        writer = LiveWriter(f.write, document, cameras, prefix, chunk)
+        for frame, payload in frames:
+            writer.add_frame(frame, payload)
+        if not writer.finish():
+            raise ValueError("no frames")
+    return writer.written
 
 
 def encode_info() -> bytes:

@@ -164,7 +164,7 @@ def test_binary_lists(spark, tmp_path):
     rows = found["frames"].orderBy("i").collect()
     assert [(r.name, r.camera, r.tr) for r in rows] == [("a.png", "1", [0, 0, -1]), ("z.png", "2", [-1, -2, -3])]
     with pytest.raises(ValueError, match="model"):
-        list(layouts.binary_cameras(struct.pack("<QiiQQ", 1, 99, 1, 1, 1)))
+        list(layouts.binary_cameras(struct.pack("<QiiQQ", 1, 1, 99, 1, 1)))
 
 
 def test_whole_recordings(spark, tmp_path):
