@@ -51,14 +51,14 @@ MIX_TARGETS = f"""WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(
 SECRET_COUNTS = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     m AS (SELECT doc_id, regexp_extract_all(text, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS a,
       regexp_extract_all(text, 'AKIA[A-Z0-9]+') AS k, regexp_extract_all(text, '[0-9a-f]+') AS h FROM d)
-    SELECT doc_id, CAST(len(list_filter(a, x -> length(x) >= 6)) AS BIGINT) AS n_assign, CAST(len(list_filter(k, x -> length(x) >= 20)) AS BIGINT) AS n_access, CAST(len(list_filter(h, x -> length(x) >= 24)) AS BIGINT) AS n_hex FROM m"""
+    SELECT doc_id, CAST(len([x FOR x IN a IF length(x) >= 6]) AS BIGINT) AS n_assign, CAST(len([x FOR x IN k IF length(x) >= 20]) AS BIGINT) AS n_access, CAST(len([x FOR x IN h IF length(x) >= 24]) AS BIGINT) AS n_hex FROM m"""
 
 QUALITY_BASE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     w AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_WORD}')) AS word, generate_subscripts(regexp_extract_all(text, '{_WORD}'), 1) AS i FROM d),
     f AS (SELECT doc_id, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS five, lead(i, 4) OVER o AS last FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
     c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM f WHERE last IS NOT NULL),
     p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM c, range(5) t(k) WHERE n > 1 GROUP BY 1),
-    l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{_WORD}')) AS lines FROM d),
+    l AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_WORD}')] AS lines FROM d),
     v AS (SELECT doc_id, count(*) AS n, sum(length(word)) AS chars FROM w GROUP BY 1),
     q AS (SELECT d.doc_id, CAST(coalesce(v.n, 0) AS BIGINT) AS n_words, CAST(coalesce(v.chars, 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
       CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN v USING (doc_id) LEFT JOIN p USING (doc_id))
