@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.shared import Numbering, arrow_limits, as_bytes, drop_scratch, materialise, slices, unused
+from plumbline.llm.shared import Numbering, arrow_limits, as_bytes, drop_scratch, drop_since, materialise, scratch_so_far, slices, unused
 
 SHINGLE_WORDS = 5
 #: How many of the most frequent shingles are told apart in the global order: 2 MB of broadcast.
@@ -424,6 +424,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, key (hash of the text), n, class_id, component (a number of its own; null without shingles), component_id for every row."""
     spark = docs.sparkSession
     arrow_limits(spark)
+    before = scratch_so_far()
     signature = _signatures(spark, frequent_shingles(docs, text_col))
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     signed = materialise(docs.select("id", "key", signature(F.col("text")).alias("s")).select("id", "key", "s.*"), "signatures")
@@ -470,6 +471,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             links = links.union(more)
             known = components(links)
         pairs = pairs.union(found)
+    drop_since(before, signed, classes, known)
 
     by_class = small.select("n", "s0", "s1", "cls", "id").join(known.withColumnRenamed("id", "cls"), "cls", "left").select("n", "s0", "s1", "id", F.coalesce("component", "cls").alias("component"))
     names = by_class.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -487,7 +489,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows without shingles are linked with nothing and all stay.
     """
+    before = scratch_so_far()
     found = materialise(_joined(docs, id_col, text_col).where("n > 0").select("id", "key", "component"), "placed-rows")
+    drop_since(before, found)
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
     stays = found.groupBy("component").agg(F.min(rank).alias("r")).select("component", F.col("r.id").alias("s_id"), F.col("r.key").alias("s_key"))
     own = F.col("id").eqNullSafe(F.col("s_id")) & (F.col("key") == F.col("s_key"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import arrow_limits, materialise, unused
+from plumbline.llm.shared import arrow_limits, drop_since, materialise, scratch_so_far, unused
 
 KINDS = ("assign", "access", "hex")
 #: The base patterns, and the least length of what counts.
@@ -107,10 +107,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
     """The rows of docs, secrets replaced by their kind in brackets; length_col (code points) follows a changed text."""
+    before = scratch_so_far()
     rows, spans = _found(docs, id_col, text_col, options.get("repository_col"), options.get("owner_col", "source"), options.get("always", ()))
     # rows alike in id and text have the same spans
     found = rows.join(spans, "row").groupBy(F.col("id").alias("s_id"), F.col("key").alias("s_key")).agg(F.min_by("spans", "row").alias("s_spans"))
     found = materialise(found, "spans")
+    drop_since(before, found)
     i, k = unused(docs, "s_id"), unused(docs, "s_key")
     found = found.select(F.col("s_id").alias(i), F.col("s_key").alias(k), F.col("s_spans").alias(s := unused(docs, "s_spans")))
     joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(k)), "left")

@@ -94,6 +94,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def scratch_so_far() -> set[str]:
+    return set(_scratch)
+
+
+def drop_since(before: set[str], *keep: DataFrame) -> None:
+    """Delete the tables that materialise() has written since, but for those that ``keep`` reads."""
+    held = {f.split("/plumbline/")[1].split("/")[0] for df in keep for f in df.inputFiles() if "/plumbline/" in f}
+    for path in [p for p in _scratch if p not in before and p.rsplit("/", 1)[1] not in held]:
+        _delete(_scratch.pop(path), path)
+
+
 def slices(arr: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int]]:
     """[start, end) ranges of a string or binary array, each of about limit bytes at most."""
     sizes = pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)
