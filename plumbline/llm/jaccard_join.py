@@ -19,8 +19,8 @@
    large components join by one link, then, of the buckets that still hold several components, every
    pair left. A pair that is never tried therefore lies inside a component: components are exact.
 
-What is returned is components, not the links: pairs inside one component are mostly never tried, so
-neither all similar pairs nor a document's number of them can be had from this.
+jaccard_join() returns components, not the links: pairs inside one component are mostly never tried.
+similar_pairs() and link_counts() do the whole join: every two classes that meet are compared in cells.
 
 The order of shingles is a matter of speed only; its statistic reads all texts, but leaves out of each
 batch of about a million shingles those that occur once in it, so counts are lower bounds and depend
@@ -420,11 +420,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, label: str)
     return links
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (hash of the text), n, class_id, component (a number of its own; null without shingles), component_id for every row."""
+def _meet(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
+    """docs (id, key, text), signatures of all rows, classes, members of groups of several classes (cls, n, gid), and what met in a bucket (token, gid, n, left, pivot, pivot_n, pivot_left, hot)."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    before = scratch_so_far()
     signature = _signatures(spark, frequent_shingles(docs, text_col))
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     signed = materialise(docs.select("id", "key", signature(F.col("text")).alias("s")).select("id", "key", "s.*"), "signatures")
@@ -433,7 +432,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = first.select("n", "s0", "s1", "c.id", "c.key", "c.n_hot", "c.prefix", "c.bits").withColumn("cls", F.monotonically_increasing_id())
     classes = materialise(classes.withColumn("p0", F.xxhash64("n", "prefix")).withColumn("p1", F.xxhash64("prefix", "n", F.lit(1))), "classes")
     # both tables stay to the end; of their columns only those are read that are asked for
-    compact, small = signed.select("id", "key", "n", "s0", "s1"), classes.drop("prefix", "n_hot")
+    small = classes.drop("prefix", "n_hot")
     groups = small.groupBy("n", "p0", "p1").agg(F.min("cls").alias("gid"), F.count("*").alias("members"))
 
     # members of groups with more than one class
@@ -445,7 +444,21 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     salted = tokens.select("token", F.when(hot, F.pmod(F.xxhash64("gid"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"), hot.alias("hot"), "gid", "n", (F.col("n") - F.col("pos")).alias("left"))
     met = salted.repartition("token", "salt").sortWithinPartitions("token", "salt", "gid").mapInArrow(_meetings, "token bigint, gid bigint, n bigint, left bigint, pivot bigint, pivot_n bigint, pivot_left bigint, hot boolean")
     met = materialise(met, "meetings")
+    return docs, signed, classes, crowd, met
+
 
+def _members(met: DataFrame, crowd: DataFrame, met_all: Column) -> DataFrame:
+    """bucket, of_group, id, n, left of every class in its buckets and its group, but of those rows that have met all others (met_all, of met)."""
+    every = met.select(F.col("token").alias("bucket"), F.lit(False).alias("of_group"), "gid", "n", "left", met_all.alias("met_all")).join(crowd.select("gid", "cls"), "gid", "left")
+    every = every.withColumn("id", F.coalesce("cls", "gid")).where(~F.col("met_all") | (F.col("id") != F.col("gid"))).select("bucket", "of_group", "id", "n", "left")
+    return every.union(crowd.select(F.col("gid").alias("bucket"), F.lit(True), F.col("cls"), "n", "n"))
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key (hash of the text), n, class_id, component (a number of its own; null without shingles), component_id for every row."""
+    before = scratch_so_far()
+    docs, signed, classes, crowd, met = _meet(docs, id_col, text_col)
+    compact, small = signed.select("id", "key", "n", "s0", "s1"), classes.drop("prefix", "n_hot")
     stars = met.where("pivot <> gid").where(_possible("n", "left", "pivot_n", "pivot_left")).select(F.col("pivot").alias("a"), F.col("gid").alias("b"))
     pivots = met.where("hot").select("token", "pivot").distinct()
     least = pivots.groupBy("token").agg(F.min("pivot").alias("a"))
@@ -454,11 +467,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pairs = materialise(stars.union(between).union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = _verified(pairs, small, docs, "stars")
 
-    # what is left: members of different components that meet in a bucket or a group
-    # (the first of a bucket that isn't salted has met all others)
-    every = met.select(F.col("token").alias("bucket"), F.lit(False).alias("of_group"), "gid", "n", "left", (~F.col("hot") & (F.col("gid") == F.col("pivot"))).alias("met_all")).join(crowd.select("gid", "cls"), "gid", "left")
-    every = every.withColumn("id", F.coalesce("cls", "gid")).where(~F.col("met_all") | (F.col("id") != F.col("gid"))).select("bucket", "of_group", "id", "n", "left")
-    every = every.union(crowd.select(F.col("gid").alias("bucket"), F.lit(True), F.col("cls"), "n", "n"))
+    # what is left: members of different components that meet in a bucket or a group; the first of a bucket that isn't salted has met all others
+    every = _members(met, crowd, ~F.col("hot") & (F.col("gid") == F.col("pivot")))
     placed, known = every, components(links)
     for nearest_only in (True, False):
         placed = placed.select("bucket", "of_group", "id", "n", "left").join(known, "id", "left").select("bucket", "of_group", "id", "n", "left", F.coalesce("component", "id").alias("component"))
@@ -506,3 +516,31 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         again = keyed.join(twice, same).groupBy(i, k).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
         kept = kept.union(again.select("row.*"))
     return kept
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: pairs a, b of classes of equal sets, each once, and the rows: id_col, n_shingles, cls, class_id.
+
+    Every two classes that meet are compared in cells, also those of one component. The pairs are as
+    many as there are links, so with the square of a crowd of texts that are all alike.
+    """
+    before = scratch_so_far()
+    docs, signed, classes, crowd, met = _meet(docs, id_col, text_col)
+    small = classes.drop("prefix", "n_hot")
+    every = _members(met, crowd, F.lit(False)).withColumn("component", F.col("id"))
+    found = materialise(_across(materialise(_parted(every), "parted"), small.select("cls", "bits"), False), "across")
+    pairs = _verified(found, small, docs, "all")
+    drop_since(before, signed, classes, pairs)
+    named = small.select("n", "s0", "s1", "cls", F.col("id").alias("class_id"))
+    rows = signed.select("id", "n", "s0", "s1").join(named, ["n", "s0", "s1"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "cls", "class_id")
+    return pairs, rows
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, n_links (other rows that a row is linked with, its copies among them) for every row."""
+    pairs, rows = similar_pairs(docs, id_col, text_col)
+    sizes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("rows"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("cls", "other")
+    linked = both.join(sizes.toDF("other", "others"), "other").groupBy("cls").agg(F.sum("others").alias("others"))
+    counted = sizes.join(linked, "cls", "left").select("cls", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(counted, "cls", "left").select(id_col, "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))

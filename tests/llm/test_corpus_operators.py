@@ -231,6 +231,17 @@ def test_jaccard_join_of_crowds(spark, monkeypatch, block):
     assert 20 < len(set(want.values())) < len(want) - 20
 
 
+def test_every_link(spark):
+    rng = random.Random(12)
+    words = [f"v{k}" for k in range(300)]
+    texts = crowd(rng, words, 50, [0, 1, 1, 2, 3]) + crowd(rng, words, 30, [1], 40) + ["", None, "one two", "one two", "One  two"]
+    data = list(enumerate(texts))
+    sets = sets_of(data)
+    want = {i: sum(1 for j in sets if i != j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets}
+    got = {r.doc_id: r.n_links for r in jaccard_join.link_counts(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == want and max(want.values()) > 10 and 0 in want.values()
+
+
 def test_near_pairs_of_bitmaps():
     rng = random.Random(1)
     sets = []
