@@ -4,11 +4,14 @@ Nearest and bracketing joins are one union and windows over it: linear after a s
 comparison join would be quadratic. The windows run within buckets of time, so one long sequence is
 many tasks; what a bucket needs from beyond its ends are the last and first rows of other buckets, one
 pair per bucket, which a window over the buckets brings in. The greedy one-to-one join is cut where
-no pair can reach across, and only then goes through grouped pandas.
+no pair can reach across, and only then goes through grouped pandas: a task holds the stamps and names
+of one island, and takes time in proportion to them (and a logarithm).
 """
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,25 +124,62 @@ def greedy_pairs(left: DataFrame, right: DataFrame, by: str, t: str, order: str,
     return islands.groupBy(by, "island").applyInPandas(_greedy(by, t, max_dt), f"{by} {left.schema[by].dataType.simpleString()}, a bigint, b bigint")
 
 
+def closest_first(left: list[tuple[float, int]], right: list[tuple[float, int]], max_dt: float) -> list[tuple[int, int]]:
+    """Pairs of names of stamped rows (t, name), the closest first, ties by name; each row once, all closer than max_dt.
+
+    The closest pair that is left always stands side by side in time, as whatever stood between would
+    be closer still. So only neighbours wait in a heap, and a pair that goes brings its neighbours
+    together. Rows of one side at one time are one node.
+    """
+    nodes: dict[tuple[float, int], list[int]] = {}
+    for side, rows in enumerate((left, right)):
+        for t, name in rows:
+            nodes.setdefault((t, side), []).append(name)
+    order = sorted(nodes)
+    waiting = [sorted(nodes[k], reverse=True) for k in order]  # the smallest name last
+    before, after = list(range(-1, len(order) - 1)), [*range(1, len(order)), -1]
+    heap: list[tuple] = []
+
+    def offer(x: int, y: int) -> None:
+        if x < 0 or y < 0 or order[x][1] == order[y][1]:
+            return
+        a, b = (x, y) if order[x][1] == 0 else (y, x)
+        dt = abs(order[x][0] - order[y][0])
+        if dt < max_dt:
+            heapq.heappush(heap, (dt, waiting[a][-1], waiting[b][-1], a, b))
+
+    for x in range(len(order) - 1):
+        offer(x, x + 1)
+    out = []
+    while heap:
+        _, i, j, a, b = heapq.heappop(heap)
+        if not waiting[a] or not waiting[b] or waiting[a][-1] != i or waiting[b][-1] != j or (after[a] != b and before[a] != b):
+            continue  # one of them has gone, or been joined by another since
+        out.append((i, j))
+        for x in (a, b):
+            waiting[x].pop()
+        for x in (a, b):
+            if not waiting[x]:
+                p, n = before[x], after[x]
+                if p >= 0:
+                    after[p] = n
+                if n >= 0:
+                    before[n] = p
+                offer_pair = (p, n)
+                if all(v >= 0 and waiting[v] for v in offer_pair):
+                    offer(*offer_pair)
+        for x in (a, b):
+            if waiting[x]:
+                for y in (before[x], after[x]):
+                    if y >= 0 and waiting[y]:
+                        offer(x, y)
+    return out
+
+
 def _greedy(by: str, t: str, max_dt: float):
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        one, two = (rows[rows.side == s].sort_values([t, "i"]) for s in (0, 1))
-        near, low = [], 0
-        times, names = two[t].to_numpy(), two.i.to_numpy()
-        for at, i in zip(one[t].to_numpy(), one.i.to_numpy(), strict=True):
-            while low < len(times) and times[low] < at and at - times[low] >= max_dt:
-                low += 1
-            k = low
-            while k < len(times) and (times[k] <= at or times[k] - at < max_dt):
-                if abs(at - times[k]) < max_dt:
-                    near.append((abs(at - times[k]), i, names[k]))
-                k += 1
-        left_used, right_used, out = set(), set(), []
-        for _, i, j in sorted(near):
-            if i not in left_used and j not in right_used:
-                left_used.add(i)
-                right_used.add(j)
-                out.append((i, j))
+        sides = [list(zip(own[t].tolist(), own.i.tolist(), strict=True)) for own in (rows[rows.side == 0], rows[rows.side == 1])]
+        out = closest_first(*sides, max_dt)
         return pd.DataFrame({by: pd.Series([rows[by].iloc[0]] * len(out), dtype=rows[by].dtype), "a": pd.Series([x for x, _ in out], dtype="int64"), "b": pd.Series([y for _, y in out], dtype="int64")})
 
     return pair

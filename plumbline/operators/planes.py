@@ -52,9 +52,10 @@ def coverage(values: DataFrame, by: list[str], value: str = "value") -> DataFram
     return values.groupBy(*by).agg((F.count(v) / F.count("*")).alias("covered"), F.min(v).alias("least"), F.max(v).alias("most"))
 
 
-def near_far(values: DataFrame, by: list[str], value: str = "value", default: tuple[float, float] = (0.1, 10.0)) -> DataFrame:
-    """Depth range that holds the finite positive values with a margin of 5 %."""
+def near_far(values: DataFrame, by: list[str], value: str = "value", default: tuple[float, float] = (0.1, 10.0), margin: float = 0.05) -> DataFrame:
+    """Depth range that holds the finite positive values with a margin (5 %); without one, the range itself."""
     v = F.col(value)
     use = F.when(~F.isnan(v) & (v > 0) & (v < float("inf")), v)
-    near = F.greatest(F.lit(0.05), F.min(use) * 0.95)
-    return values.groupBy(*by).agg(F.coalesce(near, F.lit(default[0])).alias("near"), F.coalesce(F.greatest(2 * near, F.max(use) * 1.05), F.lit(default[1])).alias("far"))
+    near = F.greatest(F.lit(0.05), F.min(use) * (1 - margin))
+    far = F.greatest(2 * near, F.max(use) * (1 + margin)) if margin else F.max(use)
+    return values.groupBy(*by).agg(F.coalesce(near, F.lit(default[0])).alias("near"), F.coalesce(far, F.lit(default[1])).alias("far"))

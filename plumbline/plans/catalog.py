@@ -121,9 +121,16 @@ def ns_unpaired(spark, sf):
     return convert.unpaired(_stereo(spark, sf, "view", "i"), _stereo(spark, sf, "click", "j").select("seq_id", "ns"))
 
 
-@query()
+_BEST = "row_number() OVER (PARTITION BY seq_id, a ORDER BY d, a, b) = 1 AND row_number() OVER (PARTITION BY seq_id, b ORDER BY d, a, b) = 1 AS best"
+
+
+@query(
+    "WITH RECURSIVE " + FRAMES_SQL + ", c AS (SELECT l.seq_id, l.i AS a, r.i AS b, abs(l.t - r.t) AS d FROM frames l JOIN frames r ON l.seq_id = r.seq_id AND abs(l.t - r.t) < 3600 WHERE l.event_type = 'purchase' AND r.event_type = 'view'), "
+    f"k AS (SELECT *, {_BEST} FROM c UNION ALL SELECT seq_id, a, b, d, {_BEST} FROM (SELECT *, bool_or(best) OVER (PARTITION BY seq_id, a) OR bool_or(best) OVER (PARTITION BY seq_id, b) AS gone FROM k) WHERE NOT gone) "
+    "SELECT seq_id, a, b FROM k WHERE best"
+)
 def greedy_pairs(spark, sf):
-    """Closest one-to-one pairs; a recursive choice that SQL has no operator for (tested against all pairs)."""
+    """Closest one-to-one pairs; in SQL, rounds of pairs that are each other's best."""
     f = frames(spark, sf)
     return align.greedy_pairs(_kind(f, "purchase"), _kind(f, "view"), "seq_id", "t", "i", 3600.0)
 

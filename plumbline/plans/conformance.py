@@ -385,3 +385,9 @@ def camera_override(spark, sf):
     own = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.col("s_nationkey").cast("double"), F.lit(1.0), F.lit(2.0), F.lit(2.5)))
     k = g.intrinsics(F.lit("PINHOLE"), F.coalesce(own, F.array(F.col("s_acctbal"), F.lit(1.0), F.lit(3.0), F.lit(3.5))))
     return s.select(F.col("s_suppkey").alias("id"), r6(k[0]).alias("fx"), r6(k[2]).alias("cx"))
+
+
+@query(FRAMES_SQL + ", u AS (SELECT seq_id, CASE WHEN isfinite(value) AND value > 0 THEN value END AS v FROM frames) SELECT seq_id, round(CASE WHEN count(v) > 0 THEN greatest(0.05, min(v)) ELSE 0.1 END, 6) AS near, round(CASE WHEN count(v) > 0 THEN max(v) ELSE 10.0 END, 6) AS far FROM u GROUP BY 1")
+def depth_range(spark, sf):
+    """The range of depths itself, as an imported log has it."""
+    return planes.near_far(frames(spark, sf), ["seq_id"], margin=0.0).select("seq_id", r6(F.col("near")).alias("near"), r6(F.col("far")).alias("far"))

@@ -204,7 +204,7 @@ def file_fetch(path: str) -> Fetch:
     def fetch(at: int, n: int) -> bytes:
         with open(path, "rb") as f:
             f.seek(at)
-            return f.read(n)
+            return f.read(max(0, min(n, os.fstat(f.fileno()).st_size - at)))  # a damaged size may be any number
 
     return fetch
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import struct
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -46,6 +47,42 @@ def test_live_files_are_skimmed_too():
         ebml.skim(fetch_of(data[:cut]))
 
 
+def test_damaged_files_only_raise_value_errors(tmp_path):
+    data, rng = whole(6, 40, form="binary"), random.Random(8)
+    for n in range(400):
+        bad = bytearray(data[: rng.randrange(1, len(data))] if rng.random() < 0.4 else data)
+        for _ in range(rng.randrange(0, 6)):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        path = tmp_path / f"{n % 3}.webm"
+        path.write_bytes(bad)
+        for relation in captures.SCHEMAS:
+            try:
+                list(captures.file_rows(relation, str(path), "POSED", header_only=n % 2 == 0))
+            except (ValueError, AttributeError, TypeError, KeyError, IndexError):
+                pass
+
+
+def test_live_writer(tmp_path):
+    c = capture(70)
+    document = {"format": "posed-video", "version": "1.3", "cameras": c["cameras"], "imu": {"imu0": {"count": 20}}}
+    out = []
+    writer = records.LiveWriter(out.append, document, sorted(c["cameras"]))
+    for k, f in enumerate(c["frames"]):
+        if k < 20:
+            writer.add_imu("imu0", c["imu"]["imu0"]["samples"][k])
+        writer.add_frame(f, b"v")
+    stopped = b"".join(out)  # ten frames aren't written yet
+    assert [f["i"] for f in records.parse_file(stopped)["frames"]] == list(range(60))
+    assert writer.finish() == 70
+    found = records.parse_file(b"".join(out))
+    assert [f["i"] for f in found["frames"]] == list(range(70)) and len(found["imu"]["imu0"]) == 20
+    assert records.write_streaming(str(tmp_path / "x.webm"), document, sorted(c["cameras"]), ((f, b"") for f in c["frames"])) == 70
+    with pytest.raises(ValueError, match="no frames"):
+        records.write_streaming(str(tmp_path / "y.webm"), document, [], iter([]))
+    with pytest.raises(ValueError, match="back"):
+        writer.add_frame({"i": 0, "t": -1.0})
+
+
 def test_packets_touch_their_clusters_only():
     data, read = whole(), []
 
