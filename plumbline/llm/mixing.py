@@ -131,10 +131,10 @@ def placed(
         F.xxhash64(F.col(text_col)).alias("tie"),
         (F.lit(None).cast("bigint") if key_col is None else F.col(key_col)).alias("key"),
     )
-    # one aggregate gives the sizes of buckets, and these the sizes of sources: the texts are read once for it
+    # one aggregate gives the sizes of buckets, and these the sizes of groups and sources: the texts are read once for it
     rows = F.greatest(F.lit(16), F.ceil(F.lit(_row_estimate(docs)) / BUCKET_ROWS)).cast("long")
     sized = sized.withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 1), rows))
-    buckets = sized.groupBy("no_source", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    buckets = materialise(sized.groupBy("no_source", "source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
     grouped = buckets.withColumn("group", F.floor(F.col("bucket") / F.ceil(F.sqrt(rows))))
     groups = grouped.groupBy("no_source", "source", "group").agg(F.sum("bucket_size").alias("group_size"))
     before_it = lambda size, order, *by: F.coalesce(F.sum(size).over(W.partitionBy("no_source", "source", *by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
