@@ -64,4 +64,10 @@ QUALITY_BASE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM doc
       CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN v USING (doc_id) LEFT JOIN p USING (doc_id))
     SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM q"""
 
-ORACLES = {"op7_url_reputation": url_reputation(), "mix_targets": MIX_TARGETS, "secret_counts": SECRET_COUNTS, "quality_base": QUALITY_BASE}
+EXACT_NEIGHBOURS = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+    s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.v, e.v) AS score FROM e q JOIN e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id AND len(q.v) = len(e.v)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, round(score, 9) AS score FROM r WHERE rank <= 5"""
+
+ORACLES = {"exact_neighbours": EXACT_NEIGHBOURS, "op7_url_reputation": url_reputation(), "mix_targets": MIX_TARGETS, "secret_counts": SECRET_COUNTS, "quality_base": QUALITY_BASE}

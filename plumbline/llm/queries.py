@@ -92,4 +92,9 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_repetition_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-QUERIES = {f.__name__: f for f in (mix_targets, secret_counts, quality_base, op1_byte_bpe, op2_mix_sources, op3_chunk_dedup, op4_suffix_dedup, op5_jaccard_join, op6_language_id, op7_url_reputation, op8_secret_scan, op9_repetition_quality, op10_vantage_search)}
+def exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 by its exact factor, scores to 9 places."""
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), factor=1.0).withColumn("score", F.round("score", 9))
+
+
+QUERIES = {f.__name__: f for f in (exact_neighbours, mix_targets, secret_counts, quality_base, op1_byte_bpe, op2_mix_sources, op3_chunk_dedup, op4_suffix_dedup, op5_jaccard_join, op6_language_id, op7_url_reputation, op8_secret_scan, op9_repetition_quality, op10_vantage_search)}

@@ -101,7 +101,7 @@ def test_op10(spark, table):
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_against_sql(spark, table, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{table[0]}/{t}.parquet/*.parquet'")
     want = con.sql(oracles.ORACLES[name])
     got = queries.QUERIES[name](spark, table[0])
