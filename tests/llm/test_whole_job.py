@@ -128,7 +128,7 @@ def test_repeated_bytes():
 def test_op6_leaves_out_no_language(spark, monkeypatch):
     """More languages than the sample was meant for: each has fewer rows."""
     monkeypatch.setattr(language_id, "ALL_ROWS", 60)
-    letters = [chr(0x0E01 + 3 * k) + chr(0x0E02 + 3 * k) for k in range(24)]
+    letters = [chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) for k in range(24)]
     rows = [(k, " ".join([letters[k % 24], letters[k % 24][::-1]] * 3), f"l{k % 24}") for k in range(24 * 12)]
     got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[k].lang_pred == lang for k, _, lang in rows)
