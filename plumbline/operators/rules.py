@@ -244,7 +244,7 @@ def validate(tables: dict[str, DataFrame], name: str | None = None) -> DataFrame
     live = d.where("document IS NOT NULL")
     found = [
         document_format(d, name), conventions(live), no_cameras(live, c), camera_models(c), value_maps(s), record_lengths(t), no_poses(live, f),
-        index_order(f), duplicate_index(f), time_order(f), unit_quaternions(f), unknown_cameras(f.where("pose_valid"), c, "a frame"), beyond_end(f, live.where("video_frames IS NOT NULL")),
+        index_order(f), duplicate_index(f), time_order(f), unit_quaternions(f), unknown_cameras(f.where("pose_valid"), c, "a frame"), beyond_end(f, live.where("video_frames > 0")),
         unknown_cameras(tables["rigs"], c, "a rig"), rig_poses(tables["rigs"]), frame_parameters(f, c), index_range(f), overrides_beside_table(live, t), declared_video(live), declared_frames(live, f), imu_tags(tables["imu_streams"], t),
     ]
     if "streams" in tables:
