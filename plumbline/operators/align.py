@@ -3,16 +3,19 @@
 Nearest and bracketing joins are one union and windows over it: linear after a sort, where a
 comparison join would be quadratic. The windows run within buckets of time, so one long sequence is
 many tasks; what a bucket needs from beyond its ends are the last and first rows of other buckets, one
-pair per bucket, which a window over the buckets brings in. The greedy one-to-one join is cut where
-no pair can reach across, and only then goes through grouped pandas: a task holds the stamps and names
-of one island, and takes time in proportion to them (and a logarithm).
+pair per bucket, which a window over the buckets brings in. The greedy one-to-one join leaves out rows
+without a counterpart and cuts the others where no pair reaches across. Only these islands go through
+Python, one after the other in sorted partitions: a task holds the stamps and names of one island, and
+takes time in proportion to them (and a logarithm).
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -115,13 +118,23 @@ def interpolated_pose(a: Column, b: Column, u: Column) -> tuple[g.Vector, g.Vect
 
 
 def greedy_pairs(left: DataFrame, right: DataFrame, by: str, t: str, order: str, max_dt: float) -> DataFrame:
-    """by, a, b (values of ``order``): pairs closer than max_dt, the closest first, each row used once."""
+    """by, a, b (values of ``order``): pairs closer than max_dt, the closest first, each row used once.
+
+    Rows without a key or a stamp pair with nothing; a null in ``order`` is the last of ties.
+    """
     ship(left.sparkSession)
-    both = left.select(by, t, F.col(order).alias("i"), F.lit(0).alias("side")).union(right.select(by, t, F.col(order), F.lit(1)))
-    in_time = W.partitionBy(by).orderBy(t, "side", "i")
-    gap = F.col(t) - F.lag(t).over(in_time)
-    islands = both.withColumn("new", F.coalesce((gap >= max_dt).cast("int"), F.lit(0))).withColumn("island", F.sum("new").over(in_time))
-    return islands.groupBy(by, "island").applyInPandas(_greedy(by, t, max_dt), f"{by} {left.schema[by].dataType.simpleString()}, a bigint, b bigint")
+    both = left.select(by, t, F.col(order).alias("i"), F.lit(0).alias("side")).union(right.select(by, t, F.col(order), F.lit(1))).where(F.col(by).isNotNull() & F.col(t).isNotNull())
+    is_left, stamps = F.col("side") == 0, [F.when(F.col("side") == side, F.col(t)) for side in (0, 1)]
+    # both windows run from their start, which is linear; one that ends at the partition's end would be quadratic
+    in_time, back = W.partitionBy(by).orderBy(t, "side", "i"), W.partitionBy(by).orderBy(F.desc(t), F.desc("side"), F.desc("i"))
+    both = both.withColumns({f"_next{side}": F.min(stamps[side]).over(back.rowsBetween(W.unboundedPreceding, W.currentRow)) for side in (0, 1)})
+    both = both.withColumns({f"_last{side}": F.max(stamps[side]).over(in_time.rowsBetween(W.unboundedPreceding, -1)) for side in (0, 1)})
+    behind, ahead = F.when(is_left, F.col("_last1")).otherwise(F.col("_last0")), F.when(is_left, F.col("_next1")).otherwise(F.col("_next0"))
+    near = (F.col(t) - behind < max_dt) | (ahead - F.col(t) < max_dt)
+    across = (F.col("_next1") - F.col("_last0") < max_dt) | (F.col("_next0") - F.col("_last1") < max_dt)
+    rows = both.withColumn("new", ~F.coalesce(across, F.lit(False))).where(near).withColumn("island", F.sum(F.col("new").cast("int")).over(in_time))
+    rows = rows.select(by, t, "i", "side", "new", "island").repartition(by, "island").sortWithinPartitions(by, "island", t, "side", "i")
+    return rows.mapInArrow(_greedy(by, t, max_dt), f"{by} {left.schema[by].dataType.simpleString()}, a bigint, b bigint")
 
 
 def closest_first(left: list[tuple[float, int]], right: list[tuple[float, int]], max_dt: float) -> list[tuple[int, int]]:
@@ -177,12 +190,33 @@ def closest_first(left: list[tuple[float, int]], right: list[tuple[float, int]],
 
 
 def _greedy(by: str, t: str, max_dt: float):
-    def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        sides = [list(zip(own[t].tolist(), own.i.tolist(), strict=True)) for own in (rows[rows.side == 0], rows[rows.side == 1])]
-        out = closest_first(*sides, max_dt)
-        return pd.DataFrame({by: pd.Series([rows[by].iloc[0]] * len(out), dtype=rows[by].dtype), "a": pd.Series([x for x, _ in out], dtype="int64"), "b": pd.Series([y for _, y in out], dtype="int64")})
-
-    return pair
+    """Pairs of sorted rows; an island begins where new is true, and may go on in the next batch."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, key, sides, out = None, None, ([], []), []
+
+        def close() -> None:
+            for a, b in closest_first(*sides, max_dt):
+                out.append((key, None if a == math.inf else a, None if b == math.inf else b))
+
+        def found() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, of) for c, of in zip(columns, (kind, pa.int64(), pa.int64()), strict=True)], [by, "a", "b"])
+
+        for rows in batches:
+            kind = rows.schema.field(by).type
+            for k, stamp, name, side, new in zip(*(rows.column(c).to_pylist() for c in (by, t, "i", "side", "new")), strict=True):
+                if new:
+                    close()
+                    key, sides = k, ([], [])
+                sides[side].append((stamp, math.inf if name is None else name))
+            yield found()
+            out.clear()
+        close()
+        if out:
+            yield found()
+
+    return pairs
 
 
 def filled_forward(value: Column, by: list[str], order: str, default) -> Column:
